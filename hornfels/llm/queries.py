@@ -4,18 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hornfels.llm import mixing
+from hornfels.llm import mixing, quality, topk
 from hornfels.llm.common import documents
+from hornfels.llm.imatch import fingerprints
 from hornfels.llm.license_scan import license_scan
+from hornfels.llm.packing import best_fit_pack
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(documents(spark, sf_dir))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op7_source_mixing)}
-ORACLES = {"op7_source_mixing": mixing.ORACLE}
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+_ALL = (
+    op1_license_scan,
+    op4_quality_classifier,
+    op5_best_fit_packing,
+    op7_source_mixing,
+    op8_document_fingerprints,
+    op9_exact_top_k,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {"op7_source_mixing": mixing.ORACLE, "op9_exact_top_k": topk.ORACLE}
