@@ -8,6 +8,7 @@ from hornfels.llm import mixing, quality, topk
 from hornfels.llm.common import documents
 from hornfels.llm.imatch import fingerprints
 from hornfels.llm.license_scan import license_scan
+from hornfels.llm.near_dedup import near_duplicates
 from hornfels.llm.packing import best_fit_pack
 
 
@@ -15,6 +16,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), shingle=4)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -37,6 +42,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_license_scan,
+    op3_near_dedup,
     op4_quality_classifier,
     op5_best_fit_packing,
     op7_source_mixing,
