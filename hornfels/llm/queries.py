@@ -8,6 +8,7 @@ from hornfels.llm import mixing, quality, topk
 from hornfels.llm.common import documents
 from hornfels.llm.imatch import fingerprints
 from hornfels.llm.license_scan import license_scan
+from hornfels.llm.line_dedup import line_dedup
 from hornfels.llm.near_dedup import near_duplicates
 from hornfels.llm.packing import best_fit_pack
 
@@ -28,6 +29,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,6 +50,7 @@ _ALL = (
     op3_near_dedup,
     op4_quality_classifier,
     op5_best_fit_packing,
+    op6_line_dedup,
     op7_source_mixing,
     op8_document_fingerprints,
     op9_exact_top_k,
