@@ -9,6 +9,7 @@ from hornfels.llm.common import documents
 from hornfels.llm.imatch import fingerprints
 from hornfels.llm.license_scan import license_scan
 from hornfels.llm.line_dedup import line_dedup
+from hornfels.llm.lm_score import lm_scores
 from hornfels.llm.near_dedup import near_duplicates
 from hornfels.llm.packing import best_fit_pack
 
@@ -17,6 +18,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4)
 
@@ -47,6 +52,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_license_scan,
+    op2_lm_score,
     op3_near_dedup,
     op4_quality_classifier,
     op5_best_fit_packing,
