@@ -12,6 +12,7 @@ from hornfels.llm.line_dedup import line_dedup
 from hornfels.llm.lm_score import lm_scores
 from hornfels.llm.near_dedup import near_duplicates
 from hornfels.llm.packing import best_fit_pack
+from hornfels.llm.token_io import round_trip
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,10 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir))
+
+
 _ALL = (
     op1_license_scan,
     op2_lm_score,
@@ -60,6 +65,7 @@ _ALL = (
     op7_source_mixing,
     op8_document_fingerprints,
     op9_exact_top_k,
+    op10_token_output,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op7_source_mixing": mixing.ORACLE, "op9_exact_top_k": topk.ORACLE}
