@@ -3,6 +3,10 @@
 A text is cut where a chunk ends in anything but white space and the next begins with white space.  Neither
 tokenizer has a pre-token that crosses such a place, so the ids of the chunks, joined, are the ids of the text.
 Texts with characters on whose class the libraries differ (U+001C to U+001F) are encoded whole.
+
+A new chunk of letters with ASCII punctuation behind is two pre-tokens, looked up by themselves; for a tokenizer that
+lower-cases, the letters are looked up in lower case (letters compose with nothing else, so the order of composing
+and lower-casing does not matter; a capital sigma is left alone).  Only pieces that are new go to the library.
 """
 
 from __future__ import annotations
@@ -10,11 +14,14 @@ from __future__ import annotations
 import functools
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
-CACHE = 400_000
-"""Chunks kept in each of the two generations of the cache of a Python worker."""
+CACHE = 500_000
+"""Entries of each of the two generations of the caches (chunks, pieces) of a Python worker."""
+
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 _SPLIT = re.compile(r"\s*\S+|\s+")
 
@@ -35,38 +42,64 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.words = words
         self.split = str.split if words else _SPLIT.findall
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.chunks, self.pieces = _Cache(), _Cache()
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         out = []
         for at in range(0, len(texts), 20_000):
             got = [e.ids for e in encode(texts[at : at + 20_000], add_special_tokens=False)]
-            flat = np.fromiter((i for ids in got for i in ids), dtype="<u4").tobytes()
             ends = np.cumsum([0, *map(len, got)]) * 4
+            flat = np.fromiter(chain.from_iterable(got), dtype="<u4", count=int(ends[-1]) // 4).tobytes()
             out += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         return out
 
+    def _cut(self, chunk: str) -> tuple[str, ...]:
+        body = chunk.rstrip(_MARKS)
+        if not (body if self.words or body[:1] != " " else body[1:]).isalpha():
+            return (chunk,)
+        tail = chunk[len(body) :]
+        if self.words and "\u03a3" not in body:
+            body = body.lower()
+        return (body, tail) if tail else (body,)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [[t] if _odd(t) else self.split(t) for t in texts]
         wanted: set[str] = set()
         for c in chunks:
             wanted.update(c)
+        missing = [(c, self._cut(c)) for c in self.chunks.missing(wanted)]
+        new = self.pieces.missing({p for _, cut in missing for p in cut})
+        pieces = self.pieces.new
+        pieces.update(zip(new, self._raw(new)))
+        known = self.chunks.new
+        for c, cut in missing:
+            known[c] = pieces[cut[0]] if len(cut) == 1 else pieces[cut[0]] + pieces[cut[1]]
+        get = known.__getitem__
+        return [b"".join(map(get, c)) for c in chunks]
+
+
+class _Cache:
+    """Two generations: what is not asked for while one fills is forgotten."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those that neither generation has; the others are in ``new`` afterwards."""
         if len(self.new) > CACHE:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        missing = []
-        for c in wanted:
-            if c not in new:
-                if (ids := old.get(c)) is None:
-                    missing.append(c)
-                else:
-                    new[c] = ids
-        new.update(zip(missing, self._raw(missing)))
-        get = new.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        out = []
+        for c in wanted.difference(new):
+            if (ids := old.get(c)) is None:
+                out.append(c)
+            else:
+                new[c] = ids
+        return out
 
 
 def _odd(text: str) -> bool:
@@ -79,7 +112,7 @@ def encoder(path: str, words: bool) -> Encoder:
     return Encoder(path, words)
 
 
-def groups(texts: list[str], chars: int = 2_000_000):
+def groups(texts: list[str], chars: int = 3_000_000):
     """Slices of ``texts`` of about ``chars`` characters each, so that memory stays bounded."""
     start, size = 0, 0
     for k, t in enumerate(texts):
