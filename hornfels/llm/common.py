@@ -38,15 +38,13 @@ def persist(df: DataFrame, spark: SparkSession | None = None, partition_by: list
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`persist` once nothing reads it any more."""
-    spark = df.sparkSession
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    base = scratch_dir(spark)
-    for root in roots:
-        if base.split("://")[-1].lstrip("/") in root:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def drop_part(df: DataFrame, part: str) -> None:
+    """Delete one partition folder, such as "kind=1", of a table made by :func:`persist`, once nothing reads it."""
+    context = df.sparkSession.sparkContext
+    marker = f"/{part}/"
+    for root in {f.split(marker)[0] + marker for f in df.inputFiles() if marker in f}:
+        target = context._jvm.org.apache.hadoop.fs.Path(root)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def texts(column: pa.Array) -> list[bytes]:

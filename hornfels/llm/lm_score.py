@@ -29,12 +29,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import persist
+from hornfels.llm.common import drop_part, persist
 
-BLOCK = 1_000_000
+BLOCK = 600_000
 HELD, FOLD, REST = 0, 1, 2
 """Held-out documents, the deleted fold of the training documents, and the others."""
-CHARS_PER_BUCKET = 15_000_000
+CHARS_PER_BUCKET = 8_000_000
 EM_STEPS = 60
 _BUCKETS = 48
 _STEPS = 4  # cells of the histogram for each doubling of a ratio
@@ -48,7 +48,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _mix(_mix(before) + word * np.uint64(0xA0761D6478BD642F))
+    """56-bit hashes: shorter gaps to pack, and a collision for one pair in some hundred thousand at 10**12 pairs."""
+    return _mix(_mix(before) + word * np.uint64(0xA0761D6478BD642F)) >> np.uint64(8)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -105,8 +106,8 @@ class _Block:
         lengths = [len(i) for i in self.ids]
         out = [(block, kind, 0, -1, self.doc_ids, lengths, pack(flat), _pack_sorted(hashes))]
         pairs, counts = np.unique(_pairs_of(flat, hashes, lengths), return_counts=True)
-        for what, keys, n in ((1, hashes, np.bincount(flat, minlength=len(hashes))), (2, pairs, counts)):
-            cuts = _cuts(keys, buckets)
+        for what, bits, keys, n in ((1, 64, hashes, np.bincount(flat, minlength=len(hashes))), (2, 56, pairs, counts)):
+            cuts = _cuts(keys, buckets, bits)
             for b in range(buckets):
                 if cuts[b] < cuts[b + 1]:
                     part = slice(cuts[b], cuts[b + 1])
@@ -122,9 +123,9 @@ def _pairs_of(flat: np.ndarray, hashes: np.ndarray, lengths: list[int]) -> np.nd
     return _pair_keys(before, word)
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+def _cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Where each bucket, a range of the hash, begins in sorted keys."""
-    bounds = np.array([(b * 2**64) // buckets for b in range(1, buckets)], np.uint64)
+    bounds = np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).astype(np.int64)
 
 
@@ -156,6 +157,7 @@ def _encode(buckets: int):
         for kind in (HELD, FOLD, REST):
             if blocks[kind].size:
                 yield flush(kind)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -190,6 +192,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [(r["block"], r["kind"], what, bucket, None, None, pack(train[where[a:b]]), pack(fold[where[a:b]]) if r["kind"] == FOLD else b"") for r, a, b in zip(rows, ends[:-1], ends[1:])]
         if what == 1:
             out.append((-1, -1, what, bucket, [int((train > 0).sum())], None, b"", b""))
+        del keys, counts, every, where, train, fold
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], _NAMES)
 
 
@@ -288,11 +291,12 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(12, -(-chars // CHARS_PER_BUCKET))
-    table = persist(docs.mapInArrow(_encode(buckets), _ROWS))
-    asked = table.filter("what > 0").select(F.concat_ws("/", "what", "bucket").alias("place"), "block", "kind", "what", "bucket", "a", "b")
+    table = persist(docs.mapInArrow(_encode(buckets), _ROWS).withColumn("asks", F.col("what") > 0), partition_by=["asks"])
+    asked = table.filter("asks").select(F.concat_ws("/", "what", "bucket").alias("place"), "block", "kind", "what", "bucket", "a", "b")
     answers = persist(asked.repartition(max(tasks, buckets), "what", "bucket").sortWithinPartitions("place").mapInArrow(_answer, _ROWS))
+    drop_part(table, "asks=true")  # answered: their room is wanted for the scoring
     v = answers.filter("block = -1").agg(F.sum(F.col("doc_ids")[0])).first()[0] or 0
-    heads = table.filter("what = 0")
+    heads = table.filter("not asks").drop("asks")
     sizes = {r[0]: r[1] for r in heads.groupBy("kind").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).collect()}
     fold, n = sizes.get(FOLD, 0), sizes.get(FOLD, 0) + sizes.get(REST, 0)
 
