@@ -526,19 +526,35 @@ def cid_lookup(spark, sf_dir):
 
 
 def register_program() -> Program:
-    """Last-writer-wins registers: a write replaces those it links to; of rival writes the smallest content id wins."""
+    """Last-writer-wins registers, one for each store and key.
+
+    A write names the writes it has seen by links.  A first write has no links; a later one answers a first write of
+    its register, or an answer.  From the first write of smallest content id the way goes down to the answer of
+    smallest id, again and again; the write without answers at its end is the register's value.
+    """
+    register = {"store": "any", "key": "any"}
     p = Program()
-    p.output("set", {"id": "cid", "store": "any", "key": "any", "value": "any"}).output("child", {"id": "cid", "parent": "cid"})
-    p.output("overwritten", {"id": "cid"}).output("latest", {"id": "cid"}).output("head", {"store": "any", "key": "any", "id": "cid", "value": "any"})
-    p.rule("set", ["cid", "any", "any", "any"], lambda h, b, i, s, k, v: (h.bind({"id": i, "store": s, "key": k, "value": v}), b.search_cid("evac", i, {"entity": s, "attribute": k, "value": v})))
-    p.rule("child", ["cid", "cid", "any", "any"], lambda h, b, i, q, s, k: (h.bind({"id": i, "parent": q}), b.search("set", {"id": i, "store": s, "key": k}).search("links", {"from": i, "to": q}).search("set", {"id": q, "store": s, "key": k})))
-    p.rule("overwritten", ["cid", "cid"], lambda h, b, i, q: (h.bind({"id": q}), b.search("child", {"id": i, "parent": q})))
-    p.rule("latest", ["cid"], lambda h, b, i: (h.bind({"id": i}), b.search("set", {"id": i}).except_("overwritten", {"id": i})))
-    p.output("rival", {"store": "any", "key": "any", "id": "cid"})
-    p.rule("rival", ["any", "any", "cid"], lambda h, b, s, k, i: (h.bind({"store": s, "key": k, "id": i}), b.search("latest", {"id": i}).search("set", {"id": i, "store": s, "key": k})))
-    p.output("winner", {"store": "any", "key": "any", "id": "cid"})
-    p.rule("winner", ["any", "any", "cid", "cid"], lambda h, b, s, k, m, i: (h.bind({"store": s, "key": k, "id": m}), b.search("rival", {"store": s, "key": k}).group_by(m, "rival", {"store": s, "key": k, "id": i}, min_(i))))
-    p.rule("head", ["any", "any", "cid", "any"], lambda h, b, s, k, i, v: (h.bind({"store": s, "key": k, "id": i, "value": v}), b.search("winner", {"store": s, "key": k, "id": i}).search("set", {"id": i, "value": v})))
+    p.output("written", {"id": "cid", **register, "value": "any"}).output("first", {"id": "cid", **register}).output("answer", {"id": "cid", "to": "cid"})
+    p.output("chosen", {"id": "cid"}).output("head", {**register, "id": "cid", "value": "any"})
+
+    def of(s, k):
+        return {"store": s, "key": k}
+
+    p.rule("written", ["cid", "any", "any", "any"], lambda h, b, i, s, k, v: (h.bind({"id": i, "value": v, **of(s, k)}), b.search_cid("evac", i, {"entity": s, "attribute": k, "value": v})))
+    p.rule("first", ["cid", "any", "any"], lambda h, b, i, s, k: (h.bind({"id": i, **of(s, k)}), b.search("written", {"id": i, **of(s, k)}).except_("links", {"from": i})))
+    p.rule(
+        "answer",
+        ["cid", "cid", "any", "any"],
+        lambda h, b, i, j, s, k: (h.bind({"id": i, "to": j}), b.search("written", {"id": i, **of(s, k)}).search("links", {"from": i, "to": j}).search("first", {"id": j, **of(s, k)})),
+    )
+    p.rule("answer", ["cid", "cid"], lambda h, b, i, j: (h.bind({"id": i, "to": j}), b.search("written", {"id": i}).search("links", {"from": i, "to": j}).search("answer", {"id": j})))
+    p.rule("chosen", ["cid", "any", "any", "cid"], lambda h, b, m, s, k, i: (h.bind({"id": m}), b.search("first", of(s, k)).group_by(m, "first", {"id": i, **of(s, k)}, min_(i))))
+    p.rule("chosen", ["cid", "cid", "cid"], lambda h, b, m, j, i: (h.bind({"id": m}), b.search("chosen", {"id": j}).group_by(m, "answer", {"id": i, "to": j}, min_(i))))
+    p.rule(
+        "head",
+        ["cid", "any", "any", "any"],
+        lambda h, b, i, s, k, v: (h.bind({"id": i, "value": v, **of(s, k)}), b.search("chosen", {"id": i}).search("written", {"id": i, "value": v, **of(s, k)}).except_("answer", {"to": i})),
+    )
     return p
 
 
