@@ -9,9 +9,10 @@
 3. Round one confirms for each document its most similar earlier one of each bucket, large buckets in salted parts
    that share their first document.  A link is confirmed on the full sets, from the texts.
 4. Confirmed links give components.  Buckets whose documents lie in one component are done.  In each other bucket
-   the documents outside its largest component are compared with all others of the bucket; for each document and
-   other component the best 4, then the best 64, then all untested candidates are confirmed.  So no link between
-   components is lost, and the pairs inside a component are never listed.
+   the documents outside its largest component are compared with all others of the bucket that are candidates, each
+   pair in the first bucket that both share, in square blocks of bounded size.  The documents that take part bring
+   their texts, links are confirmed on the full sets inside the task, and pairs that it has joined already are
+   skipped.  So no link between components is lost, and pairs are never listed.
 
 Rows of a hot bucket are split over tasks; links, components and sketches stay in distributed tables.
 
@@ -183,37 +184,82 @@ def _edge_batch(out: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _across(best: int | None):
-    """For each outsider of a bucket and each other component its ``best`` most similar rows; (a, null) if there are more."""
+def _cross_pairs(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For each outsider row of a bucket the rows that it is to be compared with.
+
+    These belong to other components, have an estimate of ``LEAST`` or more and share no earlier band with it, so
+    that each pair is met in one bucket only.
+    """
     limit = _largest_count()
+    ids, x, component = table.column("rep").to_numpy(), _sketches(table), table.column("component").to_numpy()
+    k = table.column("k")[0].as_py()
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+    role, outsider = table.column("role").to_numpy(), table.column("outsider").to_numpy(zero_copy_only=False)
+    own = np.flatnonzero(role == 0)
+    for row in np.flatnonzero(role == 1):
+        near = own[np.bitwise_count(x[own] ^ x[row]).sum(axis=1, dtype=np.int64) <= limit]
+        near = near[(component[near] != component[row]) & (~outsider[near] | (ids[near] > ids[row]))]
+        if len(near):
+            near = near[(bands[near] == bands[row]).argmax(axis=1) == k]
+        if len(near):
+            yield row, near
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each bucket that take part in a comparison."""
+    for table in _grouped(batches, 2):
+        wanted = np.zeros(table.num_rows, bool)
+        for row, near in _cross_pairs(table):
+            wanted[row] = True
+            wanted[near] = True
+        if wanted.any():
+            yield from table.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+
+def _across(size: int, threshold: float):
+    """Confirmed links between components, at most one for each two components of a bucket part."""
+    hundredths = round(threshold * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int | None]] = set()
+        unpress = zstandard.ZstdDecompressor().decompress
         for table in _grouped(batches, 2):
-            ids, x, component = table.column("rep").to_numpy(), _sketches(table), table.column("component").to_numpy()
-            outsider, own = table.column("outsider").to_numpy(zero_copy_only=False), np.flatnonzero(table.column("own").to_numpy(zero_copy_only=False))
-            for k in np.flatnonzero(outsider):
-                counts = np.bitwise_count(x[own] ^ x[k]).sum(axis=1, dtype=np.int64)
-                near = np.flatnonzero((counts <= limit) & (component[own] != component[k]))
-                if not len(near):
-                    continue
-                near = near[np.lexsort((ids[own[near]], counts[near], component[own[near]]))]
-                groups = component[own[near]]
-                place = np.arange(len(near)) - np.searchsorted(groups, groups, side="left")
-                chosen = near if best is None else near[place < best]
-                for y in ids[own[chosen]].tolist():
-                    i = int(ids[k])
-                    out.add((max(i, y), min(i, y)))
-                if len(chosen) < len(near):
-                    out.add((int(ids[k]), None))
-            if len(out) > 200_000:
+            ids, component = table.column("rep").to_numpy(), table.column("component").to_numpy()
+            data, sets = table.column("data"), {}
+            parent: dict[int, int] = {}
+            out: set[tuple[int, int]] = set()
+
+            def root(c: int, parent=parent) -> int:
+                while parent.get(c, c) != c:
+                    c = parent[c]
+                return c
+
+            def shingles(row: int, sets=sets, data=data) -> np.ndarray:
+                if row not in sets:
+                    sets[row] = shingle_set(unpress(data[row].as_py()), size)
+                return sets[row]
+
+            for row, near in _cross_pairs(table):
+                for other in near.tolist():
+                    c, d = root(int(component[row])), root(int(component[other]))
+                    if c != d and _linked(shingles(int(row)), shingles(other), hundredths):
+                        parent[max(c, d)] = min(c, d)
+                        out.add((int(ids[row]), int(ids[other])))
+            if out:
                 yield _edge_batch(out)
-                out.clear()
-        yield _edge_batch(out)
 
     return run
 
 
+def _linked(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
+    small, large = sorted((a, b), key=len)
+    if len(large) * hundredths > len(small) * 100:
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= hundredths * (len(a) + len(b) - both)
+
+
 def _confirm(size: int, threshold: float):
     hundredths = round(threshold * 100)
 
@@ -223,12 +269,7 @@ def _confirm(size: int, threshold: float):
             a, b = batch.column(0), batch.column(1)
             linked = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                own, held = shingle_set(unpress(x), size), shingle_set(unpress(y), size)
-                if max(len(own), len(held)) * hundredths > min(len(own), len(held)) * 100:
-                    linked.append(False)
-                    continue
-                both = len(np.intersect1d(own, held, assume_unique=True))
-                linked.append(100 * both >= hundredths * (len(own) + len(held) - both))
+                linked.append(_linked(shingle_set(unpress(x), size), shingle_set(unpress(y), size), hundredths))
             yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     return run
@@ -272,7 +313,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
         vertices = vertices.unionByName(hot.select(F.col("rep").alias("doc_id")))
     vertices = persist(vertices.distinct())
     wanted = docs.filter("doc_id is not null").mapInArrow(_press, "doc_id long, data binary").join(vertices, "doc_id", "left_semi")
-    data = persist(wanted)
+    data = persist(wanted.dropDuplicates(["doc_id", "data"]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         near = pairs.join(data.withColumnRenamed("data", "x"), F.col("a") == F.col("doc_id")).drop("doc_id")
@@ -282,35 +323,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     tested = confirm(found.filter("a <> b"))
     of_class = persist(connected_components(tested.filter("linked").select("a", "b")))
     near_rows = persist(reps.join(vertices, F.col("rep") == F.col("doc_id"), "left_semi").select("rep", "bands", "odd"))
-    for best in (4, 64, None):
-        placed = near_rows.join(of_class, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
-        placed = placed.select(F.explode("bands").alias("band"), "rep", "odd", "component")
-        counts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-        active = counts.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-        active = persist(active.filter("k > 1").select("band", "largest", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
-        mixed = placed.join(_small(active), "band").withColumn("outsider", F.col("component") != F.col("largest"))
-        part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-        everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
-        mixed = mixed.withColumn("home", part).withColumn("part", F.explode(F.when(F.col("outsider"), everywhere).otherwise(F.array(part))))
-        mixed = mixed.select("band", F.col("part").cast("long").alias("part"), "rep", "odd", "component", "outsider", (F.col("part") == F.col("home")).alias("own"))
-        pairs = mixed.repartition(n, "band", "part").sortWithinPartitions("band", "part").mapInArrow(_across(best), "a long, b long")
-        pairs = persist(pairs.distinct())
-        fresh = persist(pairs.filter("b is not null").join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        more = not pairs.filter("b is null").isEmpty()
-        if not fresh.isEmpty():
-            result = confirm(fresh)
-            tested = tested.unionByName(result)
-            label = of_class.select(F.col("node"), F.col("component"))
-            links = result.filter("linked").select("a", "b")
-            for end in ("a", "b"):
-                links = links.join(label.select(F.col("node").alias(end), F.col("component").alias("c_" + end)), end, "left").withColumn("c_" + end, F.coalesce("c_" + end, end))
-            merged = persist(connected_components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))))
-            if not merged.isEmpty():
-                to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
-                alone = merged.join(label, "node", "left_anti").select("node", "component")
-                of_class = persist(label.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(alone).distinct())
-        if not more:
-            break
+    # round two: buckets that hold several components
+    placed = near_rows.join(of_class, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = persist(placed.select("rep", "odd", "bands", "component"))
+    narrow = placed.select("rep", "component", F.posexplode("bands").alias("k", "band"))
+    counts = narrow.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    active = counts.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("c"))
+    parts_of = [F.ceil(c / PART).cast("int").alias(name) for c, name in ((F.col("n"), "parts"), (F.col("n") - F.col("most"), "out_parts"))]
+    active = persist(active.filter("c > 1").select("band", "largest", *parts_of))
+    mixed = narrow.join(_small(active), "band").withColumn("outsider", F.col("component") != F.col("largest"))
+    part, out_part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.pmod(F.hash("rep"), F.col("out_parts")).cast("int")
+    own = mixed.withColumn("role", F.lit(0)).withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("out_parts") - 1), lambda j: part * F.col("out_parts") + j)))
+    outside = mixed.filter("outsider").withColumn("role", F.lit(1))
+    outside = outside.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i * F.col("out_parts") + out_part)))
+    columns = ["band", "part", "rep", "k", "outsider", "role"]
+    mixed = own.select(*columns).unionByName(outside.select(*columns)).withColumn("part", F.col("part").cast("long"))
+    mixed = mixed.join(placed, "rep").select(*columns, "component", "odd", "bands")
+    schema = mixed.schema
+    taking = persist(mixed.repartition(n, "band", "part").sortWithinPartitions("band", "part").mapInArrow(_partners, schema))
+    with_data = taking.join(data, F.col("rep") == F.col("doc_id")).drop("doc_id")
+    fresh = with_data.repartition(n, "band", "part").sortWithinPartitions("band", "part").mapInArrow(_across(shingle, threshold), "a long, b long")
+    fresh = persist(fresh.distinct())
+    if not fresh.isEmpty():
+        label, links = of_class.select("node", "component"), fresh
+        for end in ("a", "b"):
+            links = links.join(label.select(F.col("node").alias(end), F.col("component").alias("c_" + end)), end, "left").withColumn("c_" + end, F.coalesce("c_" + end, end))
+        merged = persist(connected_components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))))
+        to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        alone = merged.join(label, "node", "left_anti").select("node", "component")
+        of_class = persist(label.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(alone).distinct())
     component = reps.select("set_key", "rep").join(of_class, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(persist(component), "set_key", "left")
     component_id = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
