@@ -4,7 +4,8 @@ Lines are compared stripped of white space at their ends.  A line of at least ``
 more documents hold links each of its holders to its first one, the document of smallest id; rare lines so find the
 document that a passage comes from, and a line of thousands of holders gives one link for each and not all pairs.
 Each linked pair is aligned with patience diff: lines unique in both documents are matched along their longest
-increasing run, matches are extended over equal neighbours, and the gaps between are treated alike.  Runs of
+increasing run, matches are extended over equal neighbours, and the gaps between are treated alike (a gap without
+unique lines is split at its rarest common one).  Runs of
 consecutive aligned lines are common blocks; those of at least ``BLOCK_WORDS`` words are deleted from the later
 document.  The first holder of a line has no earlier document with it, so one copy of everything stays.
 
@@ -46,7 +47,7 @@ def line_keys(text: bytes) -> tuple[list[int], list[int]]:
     return hashes, words
 
 
-def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
+def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """Aligned pairs of positions, ascending."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -64,7 +65,10 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
         where = {x: k for k, x in enumerate(b[b0:b1], b0) if in_b[x] == 1 and in_a.get(x) == 1}
         pairs = [(k, where[x]) for k, x in enumerate(a[a0:a1], a0) if x in where]
         if not pairs:
-            continue
+            rarest = min((x for x in in_a if x in in_b), key=lambda x: (in_a[x] * in_b[x], x), default=None)
+            if rarest is None:
+                continue
+            pairs = [(a.index(rarest, a0, a1), b.index(rarest, b0, b1))]
         ends: list[int] = []  # the longest increasing run of positions in b
         last: list[int] = []
         back: list[int] = []
@@ -87,19 +91,28 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
 
 
 def common_lines(later: Sequence[int], words: Sequence[int], earlier: Sequence[int], block_words: int = BLOCK_WORDS) -> list[int]:
-    """Numbers of the lines of ``later`` in aligned blocks of enough words."""
+    """Numbers of the lines of ``later`` in aligned blocks of enough words.
+
+    What is left is aligned again until nothing more is found: blocks in another order, or several times, go too.
+    """
     out: list[int] = []
-    run: list[int] = []
-    before = None
-    for i, j in [*patience(later, earlier), (-9, -9)]:
-        if before is not None and (i, j) == (before[0] + 1, before[1] + 1):
-            run.append(i)
-        else:
-            if sum(words[k] for k in run) >= block_words:
-                out += run
-            run = [i]
-        before = (i, j)
-    return out
+    left = list(range(len(later)))
+    while True:
+        gone: set[int] = set()
+        run: list[int] = []
+        before = None
+        for i, j in [*patience([later[k] for k in left], earlier), (-9, -9)]:
+            if before is not None and (i, j) == (before[0] + 1, before[1] + 1):
+                run.append(left[i])
+            else:
+                if sum(words[k] for k in run) >= block_words:
+                    gone.update(run)
+                run = [left[i]] if i >= 0 else []
+            before = (i, j)
+        if not gone:
+            return sorted(out)
+        out += gone
+        left = [k for k in left if k not in gone]
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
