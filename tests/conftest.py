@@ -3,9 +3,11 @@ import sys
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+TESTS = os.path.dirname(os.path.abspath(__file__))
+ROOT = os.path.dirname(TESTS)
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
+# Python workers import the package, and the test modules for the functions and classes defined there
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, TESTS, os.environ.get("PYTHONPATH")]))
 
 
 @pytest.fixture(scope="session")
