@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/hornfels-{spark.sparkContext.applicationId}"
 
 
-def persist(df: DataFrame, spark: SparkSession | None = None, partition_by: list[str] | None = None) -> DataFrame:
+def persist(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
     This cuts the lineage: a lost executor costs only the tasks that read the table.  The files go when the
@@ -30,21 +31,17 @@ def persist(df: DataFrame, spark: SparkSession | None = None, partition_by: list
     """
     spark = spark or df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_part(df: DataFrame, part: str) -> None:
-    """Delete one partition folder, such as "kind=1", of a table made by :func:`persist`, once nothing reads it."""
-    context = df.sparkSession.sparkContext
-    marker = f"/{part}/"
-    for root in {f.split(marker)[0] + marker for f in df.inputFiles() if marker in f}:
-        target = context._jvm.org.apache.hadoop.fs.Path(root)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+def free_shuffles(spark: SparkSession) -> None:
+    """Collect garbage on the driver, so that Spark deletes the files of shuffles that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def texts(column: pa.Array) -> list[bytes]:

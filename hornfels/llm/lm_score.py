@@ -10,7 +10,8 @@ Counts of words and word pairs grow with the corpus and are never gathered in on
 blocks of about ``BLOCK`` tokens.  Each block asks for the counts of its distinct words and pairs (64-bit hashes,
 sorted, in packed arrays); requests are dealt by ranges of the hash, summed, and answered in the order asked.  A
 word that holds a large part of all tokens is one entry of each block, so no task is skewed.  The answers return to
-their block, which computes the scores of its documents.
+their block, which computes the scores of its documents.  Requests are shuffled once and never stored besides: the
+blocks take the same shuffle, and the table of blocks and answers is what the later steps read.
 
 Edge cases: a null or empty text is the end token alone; a null id counts as the empty string for its fold; repeated
 rows count and are scored each; without training tokens base_score is that of c = N = V = 0 and the model is
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import drop_part, persist
+from hornfels.llm.common import free_shuffles, persist
 
 BLOCK = 600_000
 HELD, FOLD, REST = 0, 1, 2
@@ -176,9 +177,15 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the requests of each (bucket, what) and answers each block; block -1 carries the number of distinct words."""
+    """Sums the requests of each (bucket, what) and answers each block; block -1 carries the number of distinct words.
+
+    The blocks themselves (what 0, each in a place of its own) pass through.
+    """
     for rows in _runs(batches, "place"):
         what, bucket = rows[0]["what"], rows[0]["bucket"]
+        if what == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(_NAMES, _TYPES)], _NAMES)
+            continue
         keys = [_unpack_sorted(r["a"]) for r in rows]
         counts = [unpack(r["b"], np.uint32) for r in rows]
         every, where = np.unique(np.concatenate(keys), return_inverse=True)
@@ -291,20 +298,23 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(12, -(-chars // CHARS_PER_BUCKET))
-    table = persist(docs.mapInArrow(_encode(buckets), _ROWS).withColumn("asks", F.col("what") > 0), partition_by=["asks"])
-    asked = table.filter("asks").select(F.concat_ws("/", "what", "bucket").alias("place"), "block", "kind", "what", "bucket", "a", "b")
-    answers = persist(asked.repartition(max(tasks, buckets), "what", "bucket").sortWithinPartitions("place").mapInArrow(_answer, _ROWS))
-    drop_part(table, "asks=true")  # answered: their room is wanted for the scoring
+    made = docs.mapInArrow(_encode(buckets), _ROWS)
+    bucket = F.when(F.col("what") == 0, F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
+    place = F.when(F.col("what") == 0, F.concat_ws("/", "what", "block")).otherwise(F.concat_ws("/", "what", "bucket"))
+    dealt = made.select(place.alias("place"), "block", "kind", "what", bucket.alias("bucket"), "doc_ids", "lengths", "a", "b")
+    dealt = dealt.repartition(max(tasks, buckets), "what", "bucket").sortWithinPartitions("place")
+    answers = persist(dealt.mapInArrow(_answer, _ROWS))
     v = answers.filter("block = -1").agg(F.sum(F.col("doc_ids")[0])).first()[0] or 0
-    heads = table.filter("not asks").drop("asks")
+    heads = answers.filter("what = 0")
     sizes = {r[0]: r[1] for r in heads.groupBy("kind").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).collect()}
     fold, n = sizes.get(FOLD, 0), sizes.get(FOLD, 0) + sizes.get(REST, 0)
 
     def blocks(condition: str) -> DataFrame:
-        rows = heads.unionByName(answers.filter("block <> -1")).filter(condition)
+        rows = answers.filter("block <> -1").filter(condition)
         return rows.repartition(tasks, "block").sortWithinPartitions("block")
 
     cells = blocks(f"kind = {FOLD}").mapInArrow(_cells(n - fold, v), "bucket long, r2 long, r1 long, n long").groupBy("bucket", "r2", "r1").agg(F.sum("n"))
     weights = learn_weights([tuple(r) for r in cells.collect()])  # a bounded number of cells
+    free_shuffles(spark)  # the requests are long answered: their room is wanted for the scoring
     out = blocks("true").mapInArrow(_score(n, v, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
