@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import persist, texts
+from hornfels.llm.common import in_slices, persist, texts
 
 ANCHOR_WORDS = 5
 BLOCK_WORDS = 8
@@ -116,7 +116,7 @@ def common_lines(later: Sequence[int], words: Sequence[int], earlier: Sequence[i
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         keys = [line_keys(t) for t in texts(batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k[0] for k in keys], pa.list_(pa.int64())), pa.array([k[1] for k in keys], pa.list_(pa.int32()))], ["doc_id", "h", "hashes", "words"])
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import free_shuffles, persist
+from hornfels.llm.common import free_shuffles, persist, release_memory
 
 BLOCK = 600_000
 HELD, FOLD, REST = 0, 1, 2
@@ -158,7 +158,7 @@ def _encode(buckets: int):
         for kind in (HELD, FOLD, REST):
             if blocks[kind].size:
                 yield flush(kind)
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return run
 

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import persist, texts
+from hornfels.llm.common import in_slices, persist, release_memory, texts
 from hornfels.llm.components import connected_components
 
 BANDS, ROWS = 32, 4
@@ -62,7 +62,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``size`` words."""
     words = text.lower().split()
-    if len(_words) > 500_000:
+    if len(_words) > 100_000:
         _words.clear()
     known, digest, hashes = _words, xxhash.xxh3_64_intdigest, []
     for w in words:
@@ -105,7 +105,7 @@ def _largest_count() -> int:
 
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             counts, keys, bands, odds = [], [], [], []
             for text in texts(batch.column(1)):
                 s = shingle_set(text, size)
@@ -125,6 +125,7 @@ def _sketch(size: int):
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odds, pa.binary())],
                 ["doc_id", "n_shingles", "set_key", "bands", "odd"],
             )
+        release_memory()
 
     return run
 
@@ -246,6 +247,7 @@ def _across(size: int, threshold: float):
                         out.add((int(ids[row]), int(ids[other])))
             if out:
                 yield _edge_batch(out)
+        release_memory()
 
     return run
 
@@ -271,13 +273,14 @@ def _confirm(size: int, threshold: float):
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 linked.append(_linked(shingle_set(unpress(x), size), shingle_set(unpress(y), size), hundredths))
             yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        release_memory()
 
     return run
 
 
 def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
+    for batch in in_slices(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press(t) for t in texts(batch.column(1))], pa.binary())], ["doc_id", "data"])
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import bucket_of, persist
+from hornfels.llm.common import bucket_of, in_slices, persist, release_memory
 from hornfels.llm.tokens import default_path, encoder, groups
 
 CAPACITY = 4096
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, True).encode
-        for batch in batches:
+        for batch in in_slices(batches):
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in groups(texts):
                 rows = []
@@ -53,6 +53,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                         part = ids[at : at + step]
                         rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        encoder(path, True).forget()
+        release_memory()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, _PIECES + ", ids binary" * with_ids)
 

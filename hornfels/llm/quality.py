@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import persist, texts
+from hornfels.llm.common import in_slices, persist, release_memory, texts
 
 TO_POOLED, TO_DIAGONAL, RIDGE, TEMPER = 0.15, 0.05, 1e-3, 0.5
 
@@ -84,9 +84,10 @@ def statistics(text: bytes) -> list[float]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         data = [np.array(statistics(t), "<f8").tobytes() for t in texts(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(data, pa.binary())], ["doc_id", "x"])
+    release_memory()
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
@@ -185,8 +186,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(data)
-        for batch in batches:
+        for batch in in_slices(batches):
             x = np.array([statistics(t) for t in texts(batch.column(where))]).reshape(-1, _N)
             yield batch.filter(pa.array(own.scores(x) >= 0.5))
+        release_memory()
 
     return docs.mapInArrow(run, schema)

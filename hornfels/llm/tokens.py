@@ -18,8 +18,10 @@ from itertools import chain
 
 import numpy as np
 
-CACHE = 500_000
+CACHE = 300_000
 """Entries of each of the two generations of the caches (chunks, pieces) of a Python worker."""
+RAW = 4_000
+"""New pieces in one call of the library."""
 
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -49,8 +51,8 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         out = []
-        for at in range(0, len(texts), 20_000):
-            got = [e.ids for e in encode(texts[at : at + 20_000], add_special_tokens=False)]
+        for at in range(0, len(texts), RAW):
+            got = [e.ids for e in encode(texts[at : at + RAW], add_special_tokens=False)]
             ends = np.cumsum([0, *map(len, got)]) * 4
             flat = np.fromiter(chain.from_iterable(got), dtype="<u4", count=int(ends[-1]) // 4).tobytes()
             out += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
@@ -80,6 +82,10 @@ class Encoder:
         get = known.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
 
+    def forget(self) -> None:
+        """Drop the older generations, at the end of a task."""
+        self.chunks.old, self.pieces.old = {}, {}
+
 
 class _Cache:
     """Two generations: what is not asked for while one fills is forgotten."""
@@ -112,7 +118,7 @@ def encoder(path: str, words: bool) -> Encoder:
     return Encoder(path, words)
 
 
-def groups(texts: list[str], chars: int = 3_000_000):
+def groups(texts: list[str], chars: int = 1_000_000):
     """Slices of ``texts`` of about ``chars`` characters each, so that memory stays bounded."""
     start, size = 0, 0
     for k, t in enumerate(texts):
