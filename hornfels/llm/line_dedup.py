@@ -3,6 +3,9 @@
 Lines are compared stripped of white space at their ends.  A line of at least ``ANCHOR_WORDS`` words that two or
 more documents hold links each of its holders to its first one, the document of smallest id; rare lines so find the
 document that a passage comes from, and a line of thousands of holders gives one link for each and not all pairs.
+The same holds for runs of lines, blank ones left out: the shortest that reach ``BLOCK_WORDS`` words, on from each
+line and back from each.  Each line of a passage of so many words that an earlier document holds is in such a run
+inside the passage, so the document is aligned with one that holds the run, however short the lines are.
 Each linked pair is aligned with patience diff: lines unique in both documents are matched along their longest
 increasing run, matches are extended over equal neighbours, and the gaps between are treated alike (a gap without
 unique lines is split at its rarest common one).  Runs of
@@ -21,9 +24,10 @@ repeated inside a document alone stay; an empty table gives an empty result; all
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -47,6 +51,22 @@ def line_keys(text: bytes) -> tuple[list[int], list[int]]:
     return hashes, words
 
 
+def shortest_runs(words: Sequence[int], block_words: int = BLOCK_WORDS) -> list[tuple[int, int]]:
+    """Start and end of the shortest runs of ``block_words`` words, on from each line and back from each; no line is blank."""
+    sums, least = [0, *accumulate(words)], max(1, block_words)
+    on = ((i, bisect_left(sums, before + least)) for i, before in enumerate(sums))
+    back = ((bisect_right(sums, up_to - least) - 1, j) for j, up_to in enumerate(sums))
+    return sorted({(i, j) for i, j in (*on, *back) if i >= 0 and j < len(sums)})
+
+
+def run_keys(hashes: Sequence[int], words: Sequence[int], block_words: int = BLOCK_WORDS) -> list[int]:
+    """Distinct hashes of the shortest runs of two or more lines."""
+    solid = [k for k, n in enumerate(words) if n]
+    packed = b"".join(hashes[k].to_bytes(8, "little", signed=True) for k in solid)
+    runs = shortest_runs([words[k] for k in solid], block_words)
+    return sorted({xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j]) - 2**63 for i, j in runs if j - i > 1})
+
+
 def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """Aligned pairs of positions, ascending."""
     out: list[tuple[int, int]] = []
@@ -115,10 +135,14 @@ def common_lines(later: Sequence[int], words: Sequence[int], earlier: Sequence[i
         left = [k for k in left if k not in gone]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in in_slices(batches):
-        keys = [line_keys(t) for t in texts(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k[0] for k in keys], pa.list_(pa.int64())), pa.array([k[1] for k in keys], pa.list_(pa.int32()))], ["doc_id", "h", "hashes", "words"])
+def _lines(block_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            keys = [line_keys(t) for t in texts(batch.column(2))]
+            runs = pa.array([run_keys(*k, block_words) for k in keys], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k[0] for k in keys], pa.list_(pa.int64())), pa.array([k[1] for k in keys], pa.list_(pa.int32())), runs], ["doc_id", "h", "hashes", "words", "runs"])
+
+    return run
 
 
 def _align(block_words: int):
@@ -134,10 +158,10 @@ def _align(block_words: int):
 def deleted_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, h, gone): numbers of the lines to delete of each document that has any; h: xxhash64 of the text."""
     keyed = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
-    lines = keyed.mapInArrow(_lines, "doc_id long, h long, hashes array<long>, words array<int>")
+    lines = keyed.mapInArrow(_lines(block_words), "doc_id long, h long, hashes array<long>, words array<int>, runs array<long>")
     lines_once = persist(lines.dropDuplicates(["doc_id", "h"]))
-    long_enough = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= anchor_words)
-    anchors = lines_once.select("doc_id", "h", F.explode(F.array_distinct(F.transform(long_enough, lambda x: x["hashes"]))).alias("line"))
+    long_enough = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= max(1, min(anchor_words, block_words)))
+    anchors = lines_once.select("doc_id", "h", F.explode(F.array_union(F.transform(long_enough, lambda x: x["hashes"]), "runs")).alias("line"))
     first = anchors.groupBy("line").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = persist(first.filter("n > 1").select("line", F.col("first.doc_id").alias("f_id"), F.col("first.h").alias("f_h")))
     links = anchors.join(first, "line").filter("doc_id <> f_id or h <> f_h").select("doc_id", "h", "f_id", "f_h")

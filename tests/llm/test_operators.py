@@ -281,6 +281,15 @@ def test_line_dedup(docs, rows):
         assert (got[i].n_lines, got[i].n_deleted) == (len(lines), len(expected[i]))
 
 
+def test_passages_of_short_lines_find_a_document_that_holds_them(spark):
+    """Each line of the passage also stands alone in a document before those that share it."""
+    for lines in ([f"line {k} of the long passage" for k in range(10)], [f"part {k}" for k in range(10)], ["a line of eight words that occurs often", "and two"]):
+        rows = [(k, f"{x}\nown {k}") for k, x in enumerate(lines)] + [(i, "\n".join([f"start {i}", *lines, f"end {i}"])) for i in (100, 101)]
+        got = {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, [(i, t, "a") for i, t in rows])).collect()}
+        assert got[101].text == "start 101\nend 101" and got[101].n_deleted == len(lines)
+        assert got[100].text == (rows[-2][1] if len(lines) > 2 else "start 100\nand two\nend 100")
+
+
 def test_patience_alignment():
     assert line_dedup.patience("abcde", "xbcdy") == [(1, 1), (2, 2), (3, 3)]
     assert line_dedup.patience("aXbXc", "aYbc") == [(0, 0), (2, 2), (4, 3)]
