@@ -10,7 +10,7 @@ Each linked pair is aligned with patience diff: lines unique in both documents a
 increasing run, matches are extended over equal neighbours, and the gaps between are treated alike (a gap without
 unique lines is split at its rarest common one).  Runs of
 consecutive aligned lines are common blocks; those of at least ``BLOCK_WORDS`` words are deleted from the later
-document.  The first holder of a line has no earlier document with it, so one copy of everything stays.
+document, and so are runs of so many words that both hold, blank lines left out, but that the alignment crosses.  The first holder of a line has no earlier document with it, so one copy of everything stays.
 
 Only line hashes and word counts are shuffled for linking and alignment.  A first holder of very many links is one
 key of a join between two written tables, which adaptive execution splits.  Texts move once, to meet the numbers of
@@ -110,13 +110,24 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def shared_runs(later: Sequence, words: Sequence[int], earlier: Sequence, block_words: int = BLOCK_WORDS) -> list[tuple[int, int]]:
+    """Start and end of the shortest runs of enough words in ``later`` that ``earlier`` holds too; no line is blank."""
+    held = set(earlier)
+    runs = [(i, j) for i, j in shortest_runs(words, block_words) if held.issuperset(later[i:j])]
+    held_runs = {n: {tuple(earlier[k : k + n]) for k in range(len(earlier) - n + 1)} for n in {j - i for i, j in runs}}
+    return [(i, j) for i, j in runs if tuple(later[i:j]) in held_runs[j - i]]
+
+
 def common_lines(later: Sequence[int], words: Sequence[int], earlier: Sequence[int], block_words: int = BLOCK_WORDS) -> list[int]:
-    """Numbers of the lines of ``later`` in aligned blocks of enough words.
+    """Numbers of the lines of ``later`` in common blocks of enough words.
 
-    What is left is aligned again until nothing more is found: blocks in another order, or several times, go too.
+    The blocks are aligned runs, and the shared runs of lines that are not blank, which an alignment misses where
+    short or blank lines cross them; blank lines inside such a run go with it.  What is left is treated again until
+    nothing more is found: blocks in another order, or several times, go too.
     """
     out: list[int] = []
     left = list(range(len(later)))
+    solid_earlier = [x for x in earlier if x != 0]
     while True:
         gone: set[int] = set()
         run: list[int] = []
@@ -129,6 +140,9 @@ def common_lines(later: Sequence[int], words: Sequence[int], earlier: Sequence[i
                     gone.update(run)
                 run = [left[i]] if i >= 0 else []
             before = (i, j)
+        solid = [p for p, k in enumerate(left) if words[k]]
+        for i, j in shared_runs([later[left[p]] for p in solid], [words[left[p]] for p in solid], solid_earlier, block_words):
+            gone.update(left[solid[i] : solid[j - 1] + 1])
         if not gone:
             return sorted(out)
         out += gone

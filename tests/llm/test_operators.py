@@ -302,6 +302,22 @@ def test_patience_alignment():
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+def test_common_lines_leave_no_shared_run():
+    assert line_dedup.common_lines([5, 7], [60, 2], [7, 5]) == [0]  # a heading crosses a passage
+    assert line_dedup.common_lines([5, 0, 9], [60, 0, 1], [8, 0, 5]) == [0]  # a blank line does
+    assert line_dedup.common_lines([5, 0, 6, 0, 9], [4, 0, 4, 0, 1], [8, 5, 6]) == [0, 1, 2]  # a blank line inside
+    for seed in range(300):
+        rng = random.Random(seed)
+        a, b = ([rng.randrange(7) for _ in range(rng.randrange(14))] for _ in range(2))
+        n_words = [0, 1, 2, 3, 5, 6, 9]
+        gone = line_dedup.common_lines(a, [n_words[x] for x in a], b)
+        solid, held = [k for k, x in enumerate(a) if x], [x for x in b if x]
+        runs = [(i, j) for j in range(len(solid) + 1) for i in range(j) if sum(n_words[a[k]] for k in solid[i:j]) >= line_dedup.BLOCK_WORDS]
+        for i, j in runs:
+            if any([a[k] for k in solid[i:j]] == held[m : m + j - i] for m in range(len(held))):
+                assert set(solid[i:j]) <= set(gone)
+
+
 def test_line_dedup_of_odd_tables(spark, odd):
     out = line_dedup.line_dedup(odd)
     got = out.collect()
