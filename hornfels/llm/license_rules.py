@@ -129,7 +129,7 @@ bsd-4-clause|88|bsd|bsd 4 clause( license)?
 bsd-4-clause|88|bsd|(4|four) clause bsd( license)?
 bsd-4-clause|85|bsd|(original|old) bsd license
 bsd-4-clause|78|all advertising materials mentioning|all advertising materials mentioning features or use of this software must display
-bsd-3-clause|74|neither the name of|neither the names? of .{1,80}? nor the names of its contributors may be used to endorse or promote products
+bsd-3-clause|74|neither the name|neither the names? of .{1,80}? nor the names of its contributors may be used to endorse or promote products
 bsd-2-clause|70|redistribution and use in source and binary forms|redistribution and use in source and binary forms with or without modification are permitted
 bsd|40|bsd|bsd( style)? license
 bsd|40|bsd|(licensed|released|distributed|available) under (the )?(a )?bsd
@@ -311,14 +311,16 @@ cc0-1.0|90|creativecommons org publicdomain zero|creativecommons org publicdomai
 creative-commons|40|creative commons|creative commons( license)?
 spdx|45|spdx license identifier|spdx license identifier
 mulan-psl-2.0|84|mulan|mulan( permissive software)? (license|psl)( v?2)?
-openrail|82|openrail|(bigscience )?(creativeml )?open ?rail( m)?( license)?
+openrail|82|openrail|(bigscience )?(creativeml )?openrail( m)?( license)?
+openrail|82|open rail|(bigscience )?(creativeml )?open rail( m)?( license)?
 llama-community|82|llama|llama( 2| 3| 3 1)? community license( agreement)?
 gemma-terms|82|gemma|gemma terms of use
 freeware|40|freeware|freeware license
 shareware|40|shareware|shareware license
 proprietary|50|proprietary and confidential|proprietary and confidential
 proprietary|52|unauthorized copying|unauthorized copying of this file via any medium is strictly prohibited
-commercial|45|commercial license|(proprietary|commercial) license( agreement)?
+commercial|45|commercial license|commercial license( agreement)?
+commercial|45|proprietary license|proprietary license( agreement)?
 eula|45|end user license agreement|end user license agreement
 no-commercial-use|45|non commercial use only|(for )?non commercial use only
 all-rights-reserved|20|all rights reserved|all rights reserved

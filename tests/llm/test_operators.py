@@ -98,6 +98,37 @@ def test_license_rules_hold_and_suppress():
     assert by_force >= {"cc-by-4.0", "mit"}
 
 
+def ways(parsed):
+    """Texts of the alternatives of a parsed pattern, with and without its optional parts."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            own = [chr(arg)]
+        elif name == "ANY":
+            own = ["x"]
+        elif name == "IN":
+            own = [chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg if str(o) in ("LITERAL", "RANGE")]
+        elif name == "BRANCH":
+            own = [x for way in arg[1] for x in ways(way)]
+        elif name == "SUBPATTERN":
+            own = ways(arg[-1])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            own = [x * n for n in sorted({arg[0], max(1, arg[0])}) for x in (ways(arg[2]) if n else [""])]
+        else:
+            own = [""]  # what looks around
+        out = [a + b for a in out for b in dict.fromkeys(own)]
+    return out
+
+
+def test_each_alternative_of_a_license_rule_passes_its_keyword():
+    for rule in RULES:
+        texts = [x for x in ways(re._parser.parse(rule.pattern.pattern)) if rule.pattern.search(x)]
+        assert texts and [x for x in texts if rule.keyword not in f" {x} "] == [], rule
+    for text, label in (("a proprietary license", "commercial"), ("the open rail m license", "openrail"), ("neither the names of a nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause")):
+        assert label in scan_text(text.encode())[5].split(",")
+
+
 def test_license_scan_of_odd_tables(spark, odd):
     out = license_scan(odd).collect()
     assert len(out) == len(ODD) and {r.n_words for r in out if r.doc_id in (2, 3)} == {0}
