@@ -33,6 +33,7 @@ def persist(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     application ends.
     """
     spark = spark or df.sparkSession
+    bounded_batches(spark)
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
@@ -41,6 +42,26 @@ def persist(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20), "spark.sql.parquet.columnarReaderBatchSize": "1024"}
+"""Rows and bytes that a task holds at once beside its sorts: rows are whole texts, thousands of which need much memory."""
+
+
+_DEFAULTS = ("10000", "67108864b", "67108864", "4096")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set what of ``BATCH`` the session leaves at Spark's defaults."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key) in _DEFAULTS:
+            spark.conf.set(key, value)
+
+
+def tasks(amount: int, of_a_task: int) -> int:
+    """Tasks for an amount of work: those of the session's shuffles, or as many more as the data ask for."""
+    set_ = int(SparkSession.getActiveSession().conf.get("spark.sql.shuffle.partitions"))
+    return max(set_, -(-int(amount) // of_a_task))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Collect garbage on the driver, so that Spark deletes the files of shuffles that no plan refers to any more."""
     gc.collect()
@@ -67,6 +88,7 @@ def texts(column: pa.Array) -> list[bytes]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

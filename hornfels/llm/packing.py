@@ -1,16 +1,18 @@
 """Best-fit packing of token sequences by the sum-of-squares rule.
 
-Documents are encoded, given an end id and cut into pieces of at most ``capacity`` tokens.  A piece goes where the
-sum of the squared numbers of open bins per residual gap becomes smallest: into a bin of gap g that changes the sum
-by ``2 (N[g - s] - N[g]) + 2`` (1 less if it is filled), or into a new one, ``2 N[capacity - s] + 1``; ties go to
-the smallest gap that is open.  The pieces of a shard of a tenth of the capacity or more are taken in a seeded
-random order, for which the rule is made, and then the smaller ones, longest first, to fill what is left.
+Documents are encoded, given an end id and cut into pieces of at most ``capacity`` tokens.  A piece goes into the open
+bin of the gap g for which the sum of the squared numbers of open bins per residual gap becomes smallest: it changes
+by ``2 (N[g - s] - N[g]) + 2``, 1 less if the bin is filled; ties go to the smallest gap.  Only where no open bin
+holds the piece is a new one begun.  Each shard is packed twice and the better result taken: longest pieces first, and
+with the pieces of a tenth of the capacity or more in a seeded random order before the smaller ones, longest first.
+(The first is better for pieces around half the capacity, the second for those just under a third.)
 
 Shards are of about ``SHARD`` pieces and drawn by a hash, so each has the length distribution of the whole and one
 task packs it; their number grows with the input.  Each shard wastes a few sequences at most, one in thousands.
 Only lengths and digests are shuffled.  Encoded pieces are written to the shared scratch folder once.
 
-Edge cases: null and empty texts are one piece that holds the end id; repeated rows are packed each; an empty
+Edge cases: null and empty texts are one piece that holds the end id; a text of any length is encoded whole and
+cut into as many pieces as it needs; repeated rows are packed each; an empty
 table gives an empty result; a null id stays null; extra columns are ignored.
 """
 
@@ -53,42 +55,48 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                         part = ids[at : at + step]
                         rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-        encoder(path, True).forget()
         release_memory()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, _PIECES + ", ids binary" * with_ids)
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each item, by the sum-of-squares rule."""
-    order = np.argsort(-lengths, kind="stable")
-    large = int((lengths * 10 >= capacity).sum())
-    order[:large] = np.random.default_rng(7).permutation(order[:large])
+def _place(lengths: np.ndarray, order: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     open_bins = np.zeros(capacity + 1, np.int64)  # number of open bins by gap; gaps 0 and capacity do not count
     by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
     made = 0
     for item in order.tolist():
         s = int(lengths[item])
+        gap = capacity
         if s < capacity:
             there = open_bins[s:capacity]
-            cost = 2 * (open_bins[: capacity - s] - there) + 2
-            cost[0] -= 1
-            cost[there == 0] = np.iinfo(np.int64).max
-            k = int(cost.argmin())
-            if there[k] and cost[k] <= 2 * open_bins[capacity - s] + 1:
+            change = 2 * (open_bins[: capacity - s] - there)
+            change[0] -= 1  # a filled bin leaves the sum
+            change[there == 0] = np.iinfo(np.int64).max
+            k = int(change.argmin())
+            if there[k]:
                 gap = s + k
-                b = by_gap[gap].pop()
-                open_bins[gap] -= 1
-            else:
-                gap, b, made = capacity, made, made + 1
+        if gap < capacity:
+            b = by_gap[gap].pop()
+            open_bins[gap] -= 1
         else:
-            gap, b, made = capacity, made, made + 1
+            b, made = made, made + 1
         bins[item], offsets[item] = b, capacity - gap
         if gap > s:
             by_gap[gap - s].append(b)
             open_bins[gap - s] += 1
-    return bins, offsets
+    return bins, offsets, made
+
+
+def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each item, by the sum-of-squares rule, in the order that needs fewer bins."""
+    order = np.argsort(-lengths, kind="stable")
+    out = _place(lengths, order, capacity)
+    if out[2] > -(-int(lengths.sum()) // capacity):  # else no order can do better
+        large = int((lengths * 10 >= capacity).sum())
+        order[:large] = np.random.default_rng(7).permutation(order[:large])
+        out = min(out, _place(lengths, order, capacity), key=lambda o: o[2])
+    return out[:2]
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:

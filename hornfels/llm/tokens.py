@@ -1,31 +1,65 @@
-"""Exact encoding of whole texts with a public tokenizer, sped up by a bounded cache of white-space chunks.
+"""Exact encoding of whole texts with a public tokenizer, sped up by a bounded cache of pieces.
 
-A text is cut where a chunk ends in anything but white space and the next begins with white space.  Neither
-tokenizer has a pre-token that crosses such a place, so the ids of the chunks, joined, are the ids of the text.
+Texts are cut at places that no pre-token of either tokenizer crosses and whose two sides read alike alone: between a
+letter and ASCII punctuation (but not behind an apostrophe, which may begin a contraction), and, where white space
+counts, before the white space that follows anything else and behind a lone line end.  The ids of the pieces, joined,
+are the ids of the text.  Many texts are cut at once, by a table over the kinds of three neighbouring characters.
 Texts with characters on whose class the libraries differ (U+001C to U+001F) are encoded whole.
 
-A new chunk of letters with ASCII punctuation behind is two pre-tokens, looked up by themselves; for a tokenizer that
-lower-cases, the letters are looked up in lower case (letters compose with nothing else, so the order of composing
-and lower-casing does not matter; a capital sigma is left alone).  Only pieces that are new go to the library.
+For a tokenizer that lower-cases, letters below U+0300 are lowered first, where no combining mark is about (there
+normalising to composed characters and lower-casing commute).  Only pieces that are new go to the library, many in
+one text, divided by a separator that is a pre-token and a token of its own.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import re
+import unicodedata
 from itertools import chain
 
 import numpy as np
 
-CACHE = 300_000
-"""Entries of each of the two generations of the caches (chunks, pieces) of a Python worker."""
-RAW = 4_000
-"""New pieces in one call of the library."""
+PIECES = 400_000
+"""Entries of each of the two generations of the cache of a Python worker."""
+LONGEST = 200
+"""Characters of what the cache keeps."""
+JOINED, CALL = 24, 170
+"""New pieces in one text, and texts in one call of the library."""
 
-_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_LETTER, _MARK, _APOSTROPHE, _SPACE, _LINE, _COMBINING, _OTHER, _END = range(8)
+_KNOWN, _LOW = 0x3000, 0x300
 
-_SPLIT = re.compile(r"\s*\S+|\s+")
+
+def _kind(c: str) -> int:
+    if c == "\n":
+        return _LINE
+    if c.isspace():
+        return _END if c in "\x1c\x1d\x1e\x1f" else _SPACE
+    if c.isalpha():
+        return _LETTER
+    if unicodedata.category(c)[0] == "M":
+        return _COMBINING
+    if "!" <= c <= "~" and not c.isalnum():
+        return _APOSTROPHE if c == "'" else _MARK
+    return _OTHER
+
+
+def _between(a: int, b: int, c: int, words: bool) -> bool:
+    """Whether a text may be cut before the last of three characters of these kinds."""
+    space = (_SPACE, _LINE)
+    if (b == _LETTER and c in (_MARK, _APOSTROPHE)) or (b == _MARK and c == _LETTER):
+        return True
+    if words or c == _END or b == _END:
+        return False
+    if c in space:
+        return b not in space
+    return b == _LINE and a not in space and a != _END
+
+
+_KINDS = np.array([_kind(chr(c)) for c in range(_KNOWN)] + [_OTHER], np.uint16)
+_LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(_LOW)], "<u4")
+_CUTS = {words: np.array([_between(k >> 6, k >> 3 & 7, k & 7, words) for k in range(512)]) for words in (False, True)}
 
 
 def default_path(name: str) -> str:
@@ -38,65 +72,87 @@ class Encoder:
     """``encode(texts)`` gives the ids of each text as bytes of little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, words: bool):
-        """words: white space is dropped by the tokenizer, so chunks need not carry it."""
+        """words: the tokenizer lower-cases and drops white space, so pieces need not carry it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words = words
-        self.split = str.split if words else _SPLIT.findall
-        self.chunks, self.pieces = _Cache(), _Cache()
+        self.cache = _Cache(PIECES)
+        self.separator = " | " if words else "\n"
+        ids = self._library(["a" + self.separator + "b"])[0]
+        self.separator_id = ids[1] if len(ids) == 3 else -1
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
+    def _library(self, texts: list[str]) -> list[list[int]]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        out = []
-        for at in range(0, len(texts), RAW):
-            got = [e.ids for e in encode(texts[at : at + RAW], add_special_tokens=False)]
-            ends = np.cumsum([0, *map(len, got)]) * 4
-            flat = np.fromiter(chain.from_iterable(got), dtype="<u4", count=int(ends[-1]) // 4).tobytes()
-            out += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        return [e.ids for e in encode(texts, add_special_tokens=False)]
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), CALL * JOINED):
+            out += [np.array(ids, "<u4").tobytes() for ids in self._library(texts[at : at + CALL * JOINED])]
         return out
 
-    def _cut(self, chunk: str) -> tuple[str, ...]:
-        body = chunk.rstrip(_MARKS)
-        if not (body if self.words or body[:1] != " " else body[1:]).isalpha():
-            return (chunk,)
-        tail = chunk[len(body) :]
-        if self.words and "\u03a3" not in body:
-            body = body.lower()
-        return (body, tail) if tail else (body,)
+    def _simple(self, piece: str) -> bool:
+        """The separator stays a token of its own around it."""
+        body = piece[1:] if piece[:1] == " " else piece
+        return body.isalpha() or (body != "" and body.isascii() and body.isprintable() and " " not in body and "|" not in body)
+
+    def _raw(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece by the library."""
+        simple = [p for p in pieces if self._simple(p)] if self.separator_id >= 0 else []
+        known: dict[str, bytes] = {}
+        for at in range(0, len(simple), CALL * JOINED):
+            own = simple[at : at + CALL * JOINED]
+            got = self._library([self.separator.join(own[a : a + JOINED]) + self.separator for a in range(0, len(own), JOINED)])
+            flat = np.fromiter(chain.from_iterable(got), "<u4", sum(map(len, got)))
+            ends = (np.flatnonzero(flat == self.separator_id) * 4).tolist()
+            if len(ends) == len(own):  # else a piece reads otherwise beside a separator
+                raw = flat.tobytes()
+                known.update(zip(own, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]))
+        rest = [p for p in pieces if p not in known]
+        known.update(zip(rest, self._alone(rest)))
+        return [known[p] for p in pieces]
+
+    def cut(self, texts: list[str]) -> list[list[str]]:
+        """Pieces of each text; texts have none of U+001C to U+001F."""
+        codes = np.frombuffer("\x1d".join(texts).encode("utf-32-le"), "<u4")
+        kinds = np.concatenate([np.full(2, _END, np.uint16), _KINDS[np.minimum(codes, _KNOWN)]])
+        if self.words and codes.size and not (kinds == _COMBINING).any():
+            codes = np.where(codes < _LOW, _LOWER[np.minimum(codes, _LOW - 1)], codes)
+        cuts = np.flatnonzero(_CUTS[self.words][kinds[:-2] << 6 | kinds[1:-1] << 3 | kinds[2:]])
+        marked = np.insert(codes, cuts, 0x1E).tobytes().decode("utf-32-le").split("\x1d")
+        return [t.split() for t in marked] if self.words else [t.split("\x1e") for t in marked]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [[t] if _odd(t) else self.split(t) for t in texts]
+        plain = [t for t in texts if not _odd(t)]
+        lists = self.cut(plain) if plain else []
         wanted: set[str] = set()
-        for c in chunks:
-            wanted.update(c)
-        missing = [(c, self._cut(c)) for c in self.chunks.missing(wanted)]
-        new = self.pieces.missing({p for _, cut in missing for p in cut})
-        pieces = self.pieces.new
-        pieces.update(zip(new, self._raw(new)))
-        known = self.chunks.new
-        for c, cut in missing:
-            known[c] = pieces[cut[0]] if len(cut) == 1 else pieces[cut[0]] + pieces[cut[1]]
+        for own in lists:
+            wanted.update(own)
+        new = self.cache.missing(wanted)
+        known = self.cache.new
+        known.update(zip(new, self._raw(new)))
         get = known.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
-
-    def forget(self) -> None:
-        """Drop the older generations, at the end of a task."""
-        self.chunks.old, self.pieces.old = {}, {}
+        done = iter([b"".join(map(get, own)) for own in lists])
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
+        return [self._alone([t])[0] if _odd(t) else next(done) for t in texts]
 
 
 class _Cache:
     """Two generations: what is not asked for while one fills is forgotten."""
 
-    def __init__(self):
+    def __init__(self, size: int):
+        self.size = size
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def missing(self, wanted: set[str]) -> list[str]:
         """Those that neither generation has; the others are in ``new`` afterwards."""
-        if len(self.new) > CACHE:
+        if len(self.new) > self.size:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         out = []
