@@ -1,25 +1,28 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared stripped of white space at their ends.  A line of at least ``ANCHOR_WORDS`` words that two or
-more documents hold links each of its holders to its first one, the document of smallest id; rare lines so find the
-document that a passage comes from, and a line of thousands of holders gives one link for each and not all pairs.
-The same holds for runs of lines, blank ones left out: the shortest that reach ``BLOCK_WORDS`` words, on from each
-line and back from each.  Each line of a passage of so many words that an earlier document holds is in such a run
-inside the passage, so the document is aligned with one that holds the run, however short the lines are.
-Each linked pair is aligned with patience diff: lines unique in both documents are matched along their longest
-increasing run, matches are extended over equal neighbours, and the gaps between are treated alike (a gap without
-unique lines is split at its rarest common one).  Runs of
-consecutive aligned lines are common blocks; those of at least ``BLOCK_WORDS`` words are deleted from the later
-document, and so are runs of so many words that both hold, blank lines left out, but that the alignment crosses.  The first holder of a line has no earlier document with it, so one copy of everything stays.
-
-Only line hashes and word counts are shuffled for linking and alignment.  A first holder of very many links is one
-key of a join between two written tables, which adaptive execution splits.  Texts move once, to meet the numbers of
-their deleted lines.
-
-Edge cases: null and empty texts stay as they are; a null id takes no part; rows with an equal id and text are one
-document, and of rows with an equal id and other texts the one with the smaller text hash comes first; lines
-repeated inside a document alone stay; an empty table gives an empty result; all columns of ``docs`` are kept, and
-``n_lines`` and ``n_deleted`` win over columns of the same name.
+Lines are compared stripped of white space at their ends; blank lines are left out.  Documents find each other through
+shared hashes of rare lines.  A line of at least ``BLOCK_WORDS`` words is one by itself; shorter ones, which are common
+alone, count together: hashed is the shortest run of lines that reaches so many words, on from each line and back from
+each.  Every common block of so many words holds such a run, whatever the length of its lines, and those inside it
+cover it.  Each run links its holders to its first one, the document of smallest id, so thousands of holders give one
+link each and not all pairs, and each common block of a document is met in a link to one that holds it.
+
+Each linked pair is aligned with patience diff: lines unique in both are matched along their longest increasing run,
+matches are extended over equal neighbours, and the gaps between are treated alike (a gap without unique lines is
+split at its rarest common one).  Aligned runs of at least ``BLOCK_WORDS`` words are common blocks and are deleted from
+the later document, and so are runs of so many words that both hold but that the alignment crosses.  So exactly the
+lines go that stand in a block of so many words which an earlier document holds too; blank lines inside a block go with
+it.  The first holder of a block keeps it.
+
+Documents take part in segments of ``SEGMENT`` lines that overlap by a run, so what a pair needs is bounded however
+long the texts are.  A segment meets its later ones in parts of ``PART`` links, so a passage in very many documents is
+dealt over many tasks.  Lines are shuffled as hashes; texts move once, to meet the numbers of their deleted lines.  The
+plan is the same at every size.
+
+Edge cases: null and empty texts stay as they are; a null id takes no part; very long texts are compared whole; rows
+with an equal id and text are one document, and of rows with an equal id and other texts the one with the smaller text
+hash comes first; lines repeated inside a document alone stay; an empty table gives an empty result; all columns of
+``docs`` are kept, and ``n_lines`` and ``n_deleted`` win over columns of the same name.
 """
 
 from __future__ import annotations
@@ -36,35 +39,41 @@ from pyspark.sql import functions as F
 
 from hornfels.llm.common import in_slices, persist, texts
 
-ANCHOR_WORDS = 5
 BLOCK_WORDS = 8
+SEGMENT = 1024
+PART = 256
 
 
-def line_keys(text: bytes) -> tuple[list[int], list[int]]:
-    """A hash and the number of words of each line; 0 and 0 for a blank one."""
-    hashes, words = [], []
-    for line in text.split(b"\n"):
-        line = line.strip()
-        n = len(line.split())
-        hashes.append(xxhash.xxh3_64_intdigest(line) - 2**63 if n else 0)
-        words.append(n)
-    return hashes, words
+def solid_lines(text: bytes) -> tuple[list[int], list[int], list[int]]:
+    """A hash, the number of words and the number (from 0) of each line that is not blank."""
+    hashes, words, numbers = [], [], []
+    for number, line in enumerate(text.split(b"\n")):
+        if n := len(line.split()):
+            hashes.append(xxhash.xxh3_64_intdigest(line.strip()) - 2**63)
+            words.append(n)
+            numbers.append(number)
+    return hashes, words, numbers
 
 
 def shortest_runs(words: Sequence[int], block_words: int = BLOCK_WORDS) -> list[tuple[int, int]]:
-    """Start and end of the shortest runs of ``block_words`` words, on from each line and back from each; no line is blank."""
+    """Start and end of the shortest runs of ``block_words`` words, on from each line and back from each."""
     sums, least = [0, *accumulate(words)], max(1, block_words)
     on = ((i, bisect_left(sums, before + least)) for i, before in enumerate(sums))
     back = ((bisect_right(sums, up_to - least) - 1, j) for j, up_to in enumerate(sums))
     return sorted({(i, j) for i, j in (*on, *back) if i >= 0 and j < len(sums)})
 
 
-def run_keys(hashes: Sequence[int], words: Sequence[int], block_words: int = BLOCK_WORDS) -> list[int]:
-    """Distinct hashes of the shortest runs of two or more lines."""
-    solid = [k for k, n in enumerate(words) if n]
-    packed = b"".join(hashes[k].to_bytes(8, "little", signed=True) for k in solid)
-    runs = shortest_runs([words[k] for k in solid], block_words)
-    return sorted({xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j]) - 2**63 for i, j in runs if j - i > 1})
+def segments(text: bytes, block_words: int = BLOCK_WORDS, segment: int = SEGMENT) -> Iterator[tuple[int, list[int], list[int], list[int], list[int]]]:
+    """(number, hashes, words, line numbers, hashes of runs) of each segment; each run is in one segment, whole."""
+    hashes, words, numbers = solid_lines(text)
+    packed = b"".join(x.to_bytes(8, "little", signed=True) for x in hashes)
+    step = segment - max(1, block_words)
+    runs: dict[int, set[int]] = {}
+    for i, j in shortest_runs(words, block_words):
+        runs.setdefault(i // step, set()).add(xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j]) - 2**63)
+    for k, own in sorted(runs.items()):
+        part = slice(k * step, k * step + segment)
+        yield k, hashes[part], words[part], numbers[part], sorted(own)
 
 
 def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
@@ -110,94 +119,114 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def shared_runs(later: Sequence, words: Sequence[int], earlier: Sequence, block_words: int = BLOCK_WORDS) -> list[tuple[int, int]]:
-    """Start and end of the shortest runs of enough words in ``later`` that ``earlier`` holds too; no line is blank."""
-    held = set(earlier)
-    runs = [(i, j) for i, j in shortest_runs(words, block_words) if held.issuperset(later[i:j])]
-    held_runs = {n: {tuple(earlier[k : k + n]) for k in range(len(earlier) - n + 1)} for n in {j - i for i, j in runs}}
-    return [(i, j) for i, j in runs if tuple(later[i:j]) in held_runs[j - i]]
-
-
-def common_lines(later: Sequence[int], words: Sequence[int], earlier: Sequence[int], block_words: int = BLOCK_WORDS) -> list[int]:
-    """Numbers of the lines of ``later`` in common blocks of enough words.
-
-    The blocks are aligned runs, and the shared runs of lines that are not blank, which an alignment misses where
-    short or blank lines cross them; blank lines inside such a run go with it.  What is left is treated again until
-    nothing more is found: blocks in another order, or several times, go too.
-    """
-    out: list[int] = []
-    left = list(range(len(later)))
-    solid_earlier = [x for x in earlier if x != 0]
-    while True:
-        gone: set[int] = set()
-        run: list[int] = []
-        before = None
-        for i, j in [*patience([later[k] for k in left], earlier), (-9, -9)]:
-            if before is not None and (i, j) == (before[0] + 1, before[1] + 1):
-                run.append(left[i])
-            else:
-                if sum(words[k] for k in run) >= block_words:
-                    gone.update(run)
-                run = [left[i]] if i >= 0 else []
-            before = (i, j)
-        solid = [p for p, k in enumerate(left) if words[k]]
-        for i, j in shared_runs([later[left[p]] for p in solid], [words[left[p]] for p in solid], solid_earlier, block_words):
-            gone.update(left[solid[i] : solid[j - 1] + 1])
-        if not gone:
-            return sorted(out)
-        out += gone
-        left = [k for k in left if k not in gone]
-
-
-def _lines(block_words: int):
+class Earlier:
+    """The lines of the earlier document of some pairs."""
+
+    def __init__(self, lines: Sequence):
+        self.lines, self.set, self.runs = lines, set(lines), {}
+
+    def holds(self, run: Sequence) -> bool:
+        if not self.set.issuperset(run):
+            return False
+        n = len(run)
+        if n not in self.runs:
+            self.runs[n] = {tuple(self.lines[k : k + n]) for k in range(len(self.lines) - n + 1)}
+        return tuple(run) in self.runs[n]
+
+
+def common_lines(later: Sequence, words: Sequence[int], earlier: Earlier, block_words: int = BLOCK_WORDS) -> list[int]:
+    """Places of the lines of ``later`` in common blocks of enough words; no line is blank."""
+    gone: set[int] = set()
+    run: list[int] = []
+    before = None
+    for i, j in [*patience(later, earlier.lines), (-9, -9)]:
+        if before is not None and (i, j) == (before[0] + 1, before[1] + 1):
+            run.append(i)
+        else:
+            if sum(words[k] for k in run) >= block_words:
+                gone.update(run)
+            run = [i]
+        before = (i, j)
+    for i, j in shortest_runs(words, block_words):
+        if not gone.issuperset(range(i, j)) and earlier.holds(later[i:j]):
+            gone.update(range(i, j))
+    return sorted(gone)
+
+
+_SEGMENTS = "doc_id long, h long, seg int, hashes array<long>, words array<int>, numbers array<int>, runs array<long>"
+_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+
+
+def _segments(block_words: int, segment: int):
+    names = [c.split()[0] for c in _SEGMENTS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            keys = [line_keys(t) for t in texts(batch.column(2))]
-            runs = pa.array([run_keys(*k, block_words) for k in keys], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k[0] for k in keys], pa.list_(pa.int64())), pa.array([k[1] for k in keys], pa.list_(pa.int32())), runs], ["doc_id", "h", "hashes", "words", "runs"])
+            rows = [(d, h, *s) for d, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))) for s in segments(t, block_words, segment)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, _TYPES)], names)
 
     return run
 
 
 def _align(block_words: int):
+    """Rows come sorted by earlier segment and part, the earlier segment itself first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, earlier = None, Earlier(())
         for batch in batches:
-            rows = zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)])
-            gone = [common_lines(*r, block_words) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "h", "gone"])
+            out = []
+            for *own, role, doc_id, h, hashes, words, numbers in zip(*[batch.column(k).to_pylist() for k in range(10)]):
+                if role == 0:
+                    key, earlier = own, Earlier(hashes)
+                    continue
+                assert own == key
+                gone = common_lines(hashes, words, earlier, block_words)
+                lines = {numbers[k] for k in gone}
+                for k, after in zip(gone, gone[1:]):
+                    if after == k + 1:
+                        lines.update(range(numbers[k], numbers[after]))
+                out += [(doc_id, h, x) for x in lines]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "h", "line"])
 
     return run
 
 
-def deleted_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, h, gone): numbers of the lines to delete of each document that has any; h: xxhash64 of the text."""
+def deleted_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, segment: int = SEGMENT, part: int = PART) -> DataFrame:
+    """(doc_id, h, gone): which lines to delete of each document that has any, 64 to a long; h: xxhash64 of the text."""
     keyed = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
-    lines = keyed.mapInArrow(_lines(block_words), "doc_id long, h long, hashes array<long>, words array<int>, runs array<long>")
-    lines_once = persist(lines.dropDuplicates(["doc_id", "h"]))
-    long_enough = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= max(1, min(anchor_words, block_words)))
-    anchors = lines_once.select("doc_id", "h", F.explode(F.array_union(F.transform(long_enough, lambda x: x["hashes"]), "runs")).alias("line"))
-    first = anchors.groupBy("line").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = persist(first.filter("n > 1").select("line", F.col("first.doc_id").alias("f_id"), F.col("first.h").alias("f_h")))
-    links = anchors.join(first, "line").filter("doc_id <> f_id or h <> f_h").select("doc_id", "h", "f_id", "f_h")
+    parts = persist(keyed.mapInArrow(_segments(block_words, segment), _SEGMENTS))
+    anchors = parts.select("doc_id", "h", "seg", F.explode("runs").alias("run"))
+    first = anchors.groupBy("run").agg(F.min(F.struct("doc_id", "h", "seg")).alias("f"), F.max(F.struct("doc_id", "h")).alias("l"))
+    first = first.filter("f.doc_id <> l.doc_id or f.h <> l.h").select("run", F.col("f.doc_id").alias("f_id"), F.col("f.h").alias("f_h"), F.col("f.seg").alias("f_seg"))
+    links = anchors.join(first.hint("merge"), "run").filter("doc_id <> f_id or h <> f_h").select("doc_id", "h", "seg", "f_id", "f_h", "f_seg")
     links = persist(links.distinct())
-    earlier = lines_once.select(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h"), F.col("hashes").alias("earlier"))
-    pairs = links.join(earlier, ["f_id", "f_h"]).select("doc_id", "h", "earlier")
-    pairs = pairs.join(lines_once, ["doc_id", "h"]).select("doc_id", "h", "hashes", "words", "earlier")
-    gone = pairs.mapInArrow(_align(block_words), "doc_id long, h long, gone array<int>").filter(F.size("gone") > 0)
-    return gone.groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-
-
-def line_dedup(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with shortened texts, n_lines (before) and n_deleted."""
+    earlier_key, later_key = ["f_id", "f_h", "f_seg"], ["doc_id", "h", "seg"]
+    dealt = links.groupBy(*earlier_key).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    once = parts.drop("runs").dropDuplicates(later_key)
+    holders = once.join(dealt.hint("merge"), [F.col(a) == F.col(b) for a, b in zip(later_key, earlier_key)])
+    holders = holders.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(0))
+    links = links.join(dealt.hint("merge"), earlier_key).withColumn("part", F.pmod(F.xxhash64(*later_key), F.col("parts")).cast("int"))
+    later = links.join(once.hint("merge"), later_key).withColumn("role", F.lit(1))
+    columns = [*earlier_key, "part", "role", "doc_id", "h", "hashes", "words", "numbers"]
+    rows = holders.select(*columns).unionByName(later.select(*columns))
+    rows = rows.repartition(*earlier_key, "part").sortWithinPartitions(*earlier_key, "part", "role")
+    gone = rows.mapInArrow(_align(block_words), "doc_id long, h long, line int")
+    words = gone.groupBy("doc_id", "h", F.expr("shiftright(line, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, line % 64))").alias("b"))
+    maps = words.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"), F.max("w").alias("top"))
+    return maps.select("doc_id", "h", F.expr("transform(sequence(0, top), w -> coalesce(try_element_at(m, w), 0L))").alias("gone"))
+
+
+def line_dedup(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with shortened texts, n_lines (before) and n_deleted; settings are those of :func:`deleted_lines`."""
     docs = docs.drop("n_lines", "n_deleted")
-    gone = persist(deleted_lines(docs, anchor_words, block_words)).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "gone")
-    gone = gone.withColumnRenamed("gone", "_gone")
-    out = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
-    all_lines = F.split("text", "\n", -1)
-    out = out.withColumn("n_lines", F.coalesce(F.size(F.when(F.col("text").isNotNull(), all_lines)), F.lit(0)))
-    out = out.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_deleted", F.coalesce(F.size(F.when(F.col("_gone").isNotNull(), F.col("_gone"))), F.lit(0)))
-    out = out.withColumn("n_deleted", F.greatest("n_deleted", F.lit(0)))
-    left = F.array_join(F.filter(all_lines, lambda x, k: ~F.array_contains(F.col("_gone"), k)), "\n")
+    gone = persist(deleted_lines(docs, **settings)).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
+    # the side of the numbers is hashed and the texts stream past it, unsorted; the plan does not depend on sizes
+    out = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("int"))
+    deleted = F.expr("aggregate(_gone, 0L, (n, b) -> n + bit_count(b))")
+    out = out.withColumn("n_deleted", F.when(F.col("_gone").isNull(), 0).otherwise(deleted).cast("int"))
+    left = F.expr(r"array_join(filter(split(text, '\n', -1), (x, k) -> coalesce(shiftrightunsigned(get(_gone, shiftright(k, 6)), k & 63) & 1L, 0L) = 0), '\n')")
     out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
     return out.select(*docs.columns, "n_lines", "n_deleted")
 

@@ -282,34 +282,71 @@ def test_packing_of_odd_tables(odd):
 
 
 def lines_by_force(rows):
-    """Deleted line numbers of each row, every pair of first holder and later document aligned."""
-    keys = [((i, n), [x.strip() for x in t.encode().split(b"\n")]) for n, (i, t) in enumerate(rows) if i is not None and t is not None]
-    first = {}
-    for key, lines in sorted(keys):
-        for line in lines:
-            if len(line.split()) >= line_dedup.ANCHOR_WORDS:
-                first.setdefault(line, key)
-    by_key, out = dict(keys), {}
-    for key, lines in keys:
-        partners = {first[x] for x in lines if x in first} - {key}
-        gone = set()
-        for p in partners:
-            gone |= set(line_dedup.common_lines(lines, [len(x.split()) for x in lines], by_key[p]))
-        out[key[0]] = gone
+    """Deleted lines that are not blank: of each two documents, what lies in a block of eight words that both hold."""
+    own = []
+    for i, t in rows:
+        if i is not None and t is not None:
+            own.append((i, [(n, x.strip().decode(), len(x.split())) for n, x in enumerate(t.encode().split(b"\n")) if x.strip()]))
+    out = {i: set() for i, _ in own}
+    for i, later in own:
+        there = {x for _, x, _ in later}
+        for j, earlier in own:
+            if j >= i or not there & {x for _, x, _ in earlier}:
+                continue
+            for a in range(len(later)):
+                for b in range(len(earlier)):
+                    if a and b and later[a - 1][1] == earlier[b - 1][1]:
+                        continue  # not where a block begins
+                    n = size = 0
+                    while a + n < len(later) and b + n < len(earlier) and later[a + n][1] == earlier[b + n][1]:
+                        size += later[a + n][2]
+                        n += 1
+                    if size >= 8:
+                        out[i] |= {k for k, _, _ in later[a : a + n]}
     return out
 
 
-def test_line_dedup(docs, rows):
-    got = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+def check_lines(rows, got):
+    """What is gone is what brute force says, and blank lines."""
     expected = lines_by_force(rows)
-    assert any(expected.values())
     for i, t in rows:
         if t is None:
             assert got[i].text is None
             continue
         lines = t.split("\n")
-        assert got[i].text == "\n".join(x for k, x in enumerate(lines) if k not in expected[i])
-        assert (got[i].n_lines, got[i].n_deleted) == (len(lines), len(expected[i]))
+        kept = [x for k, x in enumerate(lines) if k not in expected.get(i, ())]
+        assert [x for x in got[i].text.split("\n") if x.strip()] == [x for x in kept if x.strip()]
+        assert got[i].n_lines == len(lines) and got[i].n_deleted == len(lines) - (len(got[i].text.split("\n")) if got[i].text or got[i].n_deleted < len(lines) else 0)
+    return expected
+
+
+def test_line_dedup(docs, rows):
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+    assert any(check_lines(rows, got).values())
+
+
+@pytest.mark.parametrize("segment", [24, 1024])
+def test_line_dedup_of_shuffled_passages(spark, segment):
+    """Short lines, passages in another order, blank lines, and documents of several segments and parts."""
+    rng = random.Random(9)
+    pool = [" ".join(rng.choice("abcdefghij") for _ in range(rng.choice([1, 1, 2, 3, 5, 9]))) for _ in range(40)]
+    rows = []
+    for i in rng.sample(range(500), 60):
+        lines = []
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(pool))
+            lines += pool[at : at + rng.randrange(1, 6)] + [""] * rng.randrange(2) + [f"own {i} {len(lines)}"] * rng.randrange(2)
+        rows.append((i, "\n".join(lines)))
+    check_lines(rows, {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, [(i, t, "a") for i, t in rows]), segment=segment, part=3).collect()})
+
+
+def test_passages_over_two_first_holders(spark):
+    """Each line of a passage has a first holder of its own; the passage as a whole has another."""
+    for lines in (["a line of five words", "one more of five words"], [f"short line number {k}" for k in range(6)]):
+        rows = [(k, x) for k, x in enumerate(lines, 1)] + [(30, "\n".join(["x", *lines, "y"])), (40, "\n".join(["q", *lines, "r"]))]
+        got = {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, [(i, t, "a") for i, t in rows])).collect()}
+        assert got[40].text == "q\nr" and got[30].n_deleted == 0
+        check_lines(rows, got)
 
 
 def test_passages_of_short_lines_find_a_document_that_holds_them(spark):
@@ -325,7 +362,7 @@ def test_patience_alignment():
     assert line_dedup.patience("abcde", "xbcdy") == [(1, 1), (2, 2), (3, 3)]
     assert line_dedup.patience("aXbXc", "aYbc") == [(0, 0), (2, 2), (4, 3)]
     assert line_dedup.patience("xaay", "vaaw") == [(1, 1), (2, 2)]  # no unique line
-    assert line_dedup.common_lines("PQzP", [9, 9, 1, 9], "QxP") == [0, 1, 3]  # moved, and twice
+    assert line_dedup.common_lines("PQzP", [9, 9, 1, 9], line_dedup.Earlier("QxP")) == [0, 1, 3]  # moved, and twice
     for _ in range(50):
         rng = random.Random(_)
         a, b = ([rng.randrange(8) for _ in range(rng.randrange(15))] for _ in range(2))
@@ -334,19 +371,14 @@ def test_patience_alignment():
 
 
 def test_common_lines_leave_no_shared_run():
-    assert line_dedup.common_lines([5, 7], [60, 2], [7, 5]) == [0]  # a heading crosses a passage
-    assert line_dedup.common_lines([5, 0, 9], [60, 0, 1], [8, 0, 5]) == [0]  # a blank line does
-    assert line_dedup.common_lines([5, 0, 6, 0, 9], [4, 0, 4, 0, 1], [8, 5, 6]) == [0, 1, 2]  # a blank line inside
+    assert line_dedup.common_lines([5, 7], [60, 2], line_dedup.Earlier([7, 5])) == [0]  # a heading crosses a passage
     for seed in range(300):
         rng = random.Random(seed)
-        a, b = ([rng.randrange(7) for _ in range(rng.randrange(14))] for _ in range(2))
+        a, b = ([rng.randrange(1, 7) for _ in range(rng.randrange(14))] for _ in range(2))
         n_words = [0, 1, 2, 3, 5, 6, 9]
-        gone = line_dedup.common_lines(a, [n_words[x] for x in a], b)
-        solid, held = [k for k, x in enumerate(a) if x], [x for x in b if x]
-        runs = [(i, j) for j in range(len(solid) + 1) for i in range(j) if sum(n_words[a[k]] for k in solid[i:j]) >= line_dedup.BLOCK_WORDS]
-        for i, j in runs:
-            if any([a[k] for k in solid[i:j]] == held[m : m + j - i] for m in range(len(held))):
-                assert set(solid[i:j]) <= set(gone)
+        gone = line_dedup.common_lines(a, [n_words[x] for x in a], line_dedup.Earlier(b))
+        runs = [(i, j) for j in range(len(a) + 1) for i in range(j) if sum(n_words[x] for x in a[i:j]) >= 8]
+        assert set(gone) == {k for i, j in runs if any(a[i:j] == b[m : m + j - i] for m in range(len(b))) for k in range(i, j)}
 
 
 def test_line_dedup_of_odd_tables(spark, odd):
