@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornfels.functions.aggregates import aggregate, count, max_, mean, min_, sum_
+from hornfels.functions.content import fact_cid
 from hornfels.functions.predicates import predicate, python_predicate
 from hornfels.plans.builder import Program
 from hornfels.plans.compile_rule import CID
 from hornfels.plans.fixpoint import evaluate
 from hornfels.sources.bind import bind
 from hornfels.sources.facts import from_columns, inputs
-from hornfels.sources.scratch import materialize
-from hornfels.types import pack, unpack
+from hornfels.sources.scratch import materialize, new_folder
+from hornfels.types import Typed, pack, unpack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -517,7 +519,16 @@ def links_explode(spark, sf_dir):
     return evaluate(spark, p, inputs(_turn_facts(spark, sf_dir)))["follows"]
 
 
-@register()
+_INT = """(CASE WHEN {0} < 24 THEN printf('%02x', {0}) WHEN {0} < 256 THEN '18' || printf('%02x', {0}) WHEN {0} < 65536 THEN '19' || printf('%04x', {0})
+WHEN {0} < 4294967296 THEN '1a' || printf('%08x', {0}) ELSE '1b' || printf('%016x', {0}) END)"""
+_FACT = "'a466656e74697479a163533634' || " + _INT.format("conv_id") + " || '6461747472a163533634' || " + _INT.format("turn") + " || '6376616ca166537472696e677820' || hex(d) || '656c696e6b73'"
+
+
+@register(f"""WITH t AS (SELECT conv_id, turn, encode(md5(coalesce(text, ''))) AS d FROM conversations),
+f AS (SELECT conv_id, turn, {_FACT} AS body FROM t),
+g AS (SELECT *, '01711220' || sha256(unhex(body || '80')) AS own FROM f)
+SELECT g.conv_id, g.turn, upper('01711220' || sha256(unhex(g.body || CASE WHEN p.own IS NULL THEN '80' ELSE '81d82a582500' || p.own END))) AS id
+FROM g LEFT JOIN g p ON p.conv_id = g.conv_id AND p.turn = g.turn - 1""")
 def cid_lookup(spark, sf_dir):
     """Content ids of all turns, in hexadecimal."""
     p = Program().output("ids", {"conv_id": "s64", "turn": "s64", "id": "cid"})
@@ -558,29 +569,30 @@ def register_program() -> Program:
     return p
 
 
+def _chain(batches):
+    """Content ids of the writes of registers, each linked to the one before; rows come by register and turn."""
+    register = before = None
+    for batch in batches:
+        out = []
+        for conv, role, digest in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "role", "digest")]):
+            if (conv, role) != register:
+                register, before = (conv, role), None
+            id_ = fact_cid(Typed("s64", conv), role, digest, [] if before is None else [before])
+            out.append((conv, role, digest, before, id_))
+            before = id_
+        types = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, types)], ["conv_id", "role", "digest", "prev", "id"])
+
+
 @register("""WITH w AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS k, text FROM conversations)
 SELECT conv_id, role, md5(coalesce(text, '')) AS value FROM w WHERE k = 1""")
 def kv_head(spark, sf_dir):
     """Each turn writes its role's register in its conversation and links to the write that it replaces."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    entity, key, value = pack(F.col("conv_id"), "s64"), pack(F.col("role"), "string"), pack(F.col("digest"), "string")
-    place = Window.partitionBy("conv_id", "role").orderBy("turn")
-    numbered = materialize(turns.withColumn("k", F.row_number().over(place)))
-    depth = numbered.agg(F.max("k")).first()[0] or 0
-    done = []
-    before = None
-    for k in range(1, depth + 1):  # a write's id depends on the id of the one before: as many steps as a register has writes
-        rows = numbered.filter(F.col("k") == k)
-        if before is None:
-            facts = from_columns(rows, entity, key, value)
-        else:
-            facts = from_columns(rows.join(before, ["conv_id", "role"]), entity, key, value, F.array("prev"))
-        facts = materialize(facts)
-        done.append(facts)
-        before = facts.select(F.col("entity.i").cast("long").alias("conv_id"), F.col("attribute.s").alias("role"), F.col(CID).alias("prev"))
-    facts = done[0]
-    for f in done[1:]:
-        facts = facts.unionByName(f)
+    chained = turns.repartition("conv_id", "role").sortWithinPartitions("conv_id", "role", "turn").mapInArrow(_chain, "conv_id long, role string, digest string, prev binary, id binary")
+    links = F.when(F.col("prev").isNull(), F.array().cast("array<binary>")).otherwise(F.array("prev"))
+    facts = chained.select(pack(F.col("conv_id"), "s64").alias("entity"), pack(F.col("role"), "string").alias("attribute"), pack(F.col("digest"), "string").alias("value"), links.alias("links"), F.col("id").alias(CID))
+    facts = materialize(facts)
     head = evaluate(spark, register_program(), inputs(facts))["head"]
     return head.select(unpack(F.col("store"), "s64").alias("conv_id"), unpack(F.col("key"), "string").alias("role"), unpack(F.col("value"), "string").alias("value"))
 
@@ -611,6 +623,25 @@ def stream_incremental(spark, sf_dir):
     return _epochs(spark, sf_dir).relation("seen")
 
 
+@register("SELECT DISTINCT user_id, event_type FROM events")
+def stream_structured(spark, sf_dir):
+    """The same program over a structured stream of the table's files: each micro-batch is an epoch."""
+    from hornfels.streaming.client import Client
+    from hornfels.streaming.streams import stream_into
+
+    p = Program().output("seen", {"user_id": "s64", "event_type": "string"})
+    p.rule("seen", ["s64", "string"], lambda h, b, u, t: (h.bind({"user_id": u, "event_type": t}), b.search("evac", {"entity": u, "attribute": t})))
+    client = Client(spark, p)
+    schema = _table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parquet*")
+
+    def facts(df):
+        return from_columns(df, pack(F.col("user_id"), "s64"), pack(F.col("event_type"), "string"), pack(F.col("value"), "f64"))
+
+    stream_into(client, stream, facts, new_folder(spark)).awaitTermination()
+    return client.relation("seen")
+
+
 @register("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, value FROM events) GROUP BY user_id")
 def stream_recompute(spark, sf_dir):
     """An aggregate over four epochs: evaluated anew in each."""

@@ -100,6 +100,50 @@ def links_of(block: bytes) -> list[bytes]:
     return out
 
 
+def decode(block: bytes) -> Any:
+    """The value of a DAG-CBOR block: the inverse of :func:`cbor`; ``ValueError`` if the block is not one value."""
+    at = 0
+
+    def take(n: int) -> bytes:
+        nonlocal at
+        if at + n > len(block):
+            raise ValueError("a block that ends too early")
+        at += n
+        return bytes(block[at - n : at])
+
+    def item() -> Any:
+        first = take(1)[0]
+        major, low = first >> 5, first & 31
+        if major == 7:
+            if low == 27:
+                return struct.unpack(">d", take(8))[0]
+            if low not in (20, 21, 22):
+                raise ValueError("a value that DAG-CBOR does not have")
+            return {20: False, 21: True, 22: None}[low]
+        if low > 27:
+            raise ValueError("a length that DAG-CBOR does not have")
+        n = int.from_bytes(take({24: 1, 25: 2, 26: 4, 27: 8}[low]), "big") if low > 23 else low
+        if major < 2:
+            return n if major == 0 else -1 - n
+        if major == 2:
+            return take(n)
+        if major == 3:
+            return take(n).decode()
+        if major == 4:
+            return [item() for _ in range(n)]
+        if major == 5:
+            return {item(): item() for _ in range(n)}
+        link = item()
+        if n != 42 or not isinstance(link, bytes) or link[:1] != b"\0":
+            raise ValueError("a tag that is not a link")
+        return Link(link[1:])
+
+    out = item()
+    if at != len(block):
+        raise ValueError("a block that goes on after its value")
+    return out
+
+
 def _value(v: Any) -> dict:
     typed = v if isinstance(v, Typed) else literal(v, ANY)
     raw = Link(typed.value) if typed.type == "cid" else float(typed.value) if typed.type in FLOATS else typed.value
@@ -114,8 +158,12 @@ def fact_cid(entity: Any, attribute: Any, value: Any, links: Iterable[bytes] = (
     return cid(fact_block(entity, attribute, value, links))
 
 
-def epoch_cid(previous: bytes | None, facts: Iterable[bytes]) -> bytes:
-    return cid(cbor({"prev": None if previous is None else Link(previous), "tuples": [Link(f) for f in facts]}))
+def epoch_cid(previous: bytes | None, n: int, facts: Iterable[bytes]) -> bytes:
+    """Content id of ``{prev, tuples}`` with the ids of ``n`` facts, which are hashed one by one and never held."""
+    digest = hashlib.sha256(_head(5, 2) + cbor("prev") + cbor(None if previous is None else Link(previous)) + cbor("tuples") + _head(4, n))
+    for fact in facts:
+        digest.update(cbor(Link(fact)))
+    return PREFIX + digest.digest()
 
 
 def _typed(row) -> Typed:

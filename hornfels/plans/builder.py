@@ -18,7 +18,7 @@ from typing import Any
 
 from hornfels import errors as E
 from hornfels.plans.stratify import Stratum, is_monotone, stratify
-from hornfels.plans.terms import Aggregation, Atom, Bindings, Condition, Declaration, Fact, Negation, Rule, Var
+from hornfels.plans.terms import LAYOUTS, Aggregation, Atom, Bindings, Condition, Declaration, Fact, Negation, Rule, Var
 from hornfels.plans.validate import check_fact, check_rule
 from hornfels.types import ANY, check_name
 
@@ -80,17 +80,20 @@ class Body:
 
 
 class Program:
-    def __init__(self, preamble: bool = True):
+    def __init__(self, preamble: bool = True, facts: str = "set", links: str = "set"):
+        """preamble: declare the inputs of facts and links, in the storages given."""
         self.declarations: dict[str, Declaration] = {}
         self.rules: list[Rule] = []
         self.facts: list[Fact] = []
         if preamble:
-            self.input("evac", {"entity": ANY, "attribute": ANY, "value": ANY}, storage="hexastore")
-            self.input("links", {"from": "cid", "to": "cid"}, storage="bistore")
+            self.input("evac", {"entity": ANY, "attribute": ANY, "value": ANY}, storage=facts)
+            self.input("links", {"from": "cid", "to": "cid"}, storage=links)
 
     def _declare(self, name: str, columns, derived: bool, storage: str) -> Program:
         if name in self.declarations:
             raise E.ConflictingRelationDeclaration(name)
+        if storage not in LAYOUTS:
+            raise ValueError(f"unknown storage {storage!r}")
         own: dict[str, str] = {}
         for column, kind in _pairs(columns):
             if column in own:
@@ -100,7 +103,7 @@ class Program:
         return self
 
     def input(self, name: str, columns=None, storage: str = "set") -> Program:
-        """Declare an input.  ``storage``: "set", or "cached" to keep the rows in executors' memory while it is bound."""
+        """Declare an input.  ``storage``: one of ``LAYOUTS`` (see :mod:`hornfels.sources.layout`)."""
         return self._declare(name, columns, False, storage)
 
     def output(self, name: str, columns=None, storage: str = "set") -> Program:

@@ -1,6 +1,7 @@
 """From a rule to a DataFrame.
 
-The environment is a DataFrame with one column for each variable bound so far.  Atoms join it on shared variables,
+The environment is a DataFrame with one column for each variable bound so far.  Atoms join it on shared variables
+(those that share one first),
 an atom of which no other variable is used later only restricts it (a semi join), negations are anti joins, and an
 aggregation groups its relation once by the variables that the environment binds and joins the result.  Catalyst
 then pushes filters and columns down and picks the joins.
@@ -51,6 +52,18 @@ def _used_by(pairs: Bindings) -> set[str]:
     return {t.name for _, t in pairs if isinstance(t, Var)}
 
 
+def join_order(variables: list[set[str]]) -> list[int]:
+    """The order in which atoms with these variables are joined: as written, but each one after the first shares a
+    variable with those before it wherever one can; only groups of atoms without any link are crossed."""
+    left, order, bound = list(range(len(variables))), [], set()
+    while left:
+        k = next((k for k in left if variables[k] & bound), left[0])
+        left.remove(k)
+        order.append(k)
+        bound |= variables[k]
+    return order
+
+
 def compile_rule(spark: SparkSession, rule: Rule, declarations: dict[str, Declaration], frame_of: Callable[[str, int], DataFrame]) -> DataFrame:
     """The head's rows, not yet distinct.  ``frame_of(relation, k)``: rows for the k-th atom; -1 for other terms."""
     kinds: dict[str, str] = {}
@@ -62,8 +75,10 @@ def compile_rule(spark: SparkSession, rule: Rule, declarations: dict[str, Declar
     atom_vars = [_used_by(a.bindings) | ({a.cid.name} if isinstance(a.cid, Var) else set()) for a in rule.atoms]
     env: DataFrame | None = None
     bound: set[str] = set()
-    for k, atom in enumerate(rule.atoms):
-        later = rest.union(*atom_vars[k + 1 :])
+    order = join_order(atom_vars)
+    for place, k in enumerate(order):
+        atom = rule.atoms[k]
+        later = rest.union(*(atom_vars[j] for j in order[place + 1 :]))
         rows = _match(frame_of(atom.relation, k), declarations[atom.relation], atom.bindings, kinds, atom.cid, later | bound)
         own = atom_vars[k]
         if env is None:

@@ -19,6 +19,7 @@ from hornfels.plans.builder import Program
 from hornfels.plans.compile_rule import CID, compile_facts, compile_rule
 from hornfels.plans.stratify import Stratum
 from hornfels.plans.terms import Rule
+from hornfels.sources.layout import lay_out
 from hornfels.sources.scratch import materialize
 from hornfels.types import spark_type
 
@@ -49,6 +50,7 @@ class Evaluation:
         self.frames: dict[str, DataFrame] = {}
         self.iterations = 0
         self._rules_made = False
+        self._cached: list[DataFrame] = []
 
     def empty(self, name: str) -> DataFrame:
         decl = self.program.declarations[name]
@@ -67,7 +69,8 @@ class Evaluation:
 
     def run(self, inputs: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """Evaluate from nothing."""
-        self.frames = dict(inputs)
+        self.reset()
+        self.frames = {n: self._laid(n, df) for n, df in inputs.items()}
         self.iterations = 0
         for stratum in self.strata:
             self._run_stratum(stratum)
@@ -86,7 +89,8 @@ class Evaluation:
             name = stratum.relations[0]
             parts = [self._derive(r) for r in stratum.rules] + self._facts(stratum, name)
             frame = _distinct(_union(parts)) if parts else self.empty(name)
-            self.frames[name] = materialize(frame) if self._uses(name) > 1 else frame
+            own = self.program.declarations[name].storage != "set"
+            self.frames[name] = self._laid(name, frame) if own else materialize(frame) if self._uses(name) > 1 else frame
             return
         looping = [r for r in stratum.rules if any(a.relation in members for a in r.atoms)]
         for name in {n for r in looping for n, _ in r.relations() if n not in members}:
@@ -140,7 +144,7 @@ class Evaluation:
         """
         first = not self._rules_made
         before = {n: self.frame(n) for n in self.program.declarations}
-        deltas = {n: materialize(df) for n, df in inputs.items()}
+        deltas = {n: materialize(df) if n not in self.program.declarations or self.program.declarations[n].storage == "set" else self._laid(n, df) for n, df in inputs.items()}
         for name, delta in deltas.items():
             self.frames[name] = before[name].unionByName(delta) if name in self.frames else delta
         for stratum in self.strata:
@@ -170,8 +174,18 @@ class Evaluation:
         self._rules_made = True
         return {n: deltas[n] if n in deltas else self.empty(n) for n in self.program.declarations}
 
+    def _laid(self, name: str, df: DataFrame) -> DataFrame:
+        if name not in self.program.declarations:
+            return df
+        out = lay_out(df, self.program.declarations[name])
+        if self.program.declarations[name].storage == "cached":
+            self._cached.append(out)
+        return out
+
     def reset(self) -> None:
-        self.frames, self._rules_made = {}, False
+        for df in self._cached:
+            df.unpersist()
+        self.frames, self._rules_made, self._cached = {}, False, []
 
 
 def evaluate(spark: SparkSession, program: Program, inputs: dict[str, DataFrame]) -> dict[str, DataFrame]:

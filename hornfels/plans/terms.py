@@ -17,6 +17,10 @@ class Var:
     type: str = ANY
 
 
+LAYOUTS = ("set", "cached", "bistore", "hexastore")
+"""Storages of a relation (see :mod:`hornfels.sources.layout`)."""
+
+
 @dataclass(frozen=True)
 class Declaration:
     name: str

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hornfels.functions.content import PREFIX, cbor, cid, links_of
-from hornfels.sources.scratch import materialize
+from hornfels.functions.content import PREFIX, cbor, cid, decode, links_of
+from hornfels.sources.scratch import exists, materialize, new_folder
 
 
 class MemoryBlocks:
@@ -42,6 +42,11 @@ class MemoryBlocks:
     def put_value(self, value: Any) -> bytes:
         return self.put(cbor(value))
 
+    def get_value(self, content_id: bytes) -> Any:
+        """The decoded block, None if it is not there."""
+        block = self.get(content_id)
+        return None if block is None else decode(block)
+
 
 class BufferedBlocks(MemoryBlocks):
     """Keeps blocks until those that a root reaches are flushed to a base store."""
@@ -78,16 +83,33 @@ def _links(block):
 
 
 class BlockTable:
-    """Blocks as a table (cid, block) for stores beyond one machine; puts are idempotent."""
+    """Blocks as a table (cid, block) for stores beyond one machine; puts append and are idempotent."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        """folder: where the blocks are; by default one that goes with the application."""
+        self.spark, self.folder = spark, folder or new_folder(spark)
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.table = spark.createDataFrame([], "cid binary, block binary")
+    @property
+    def table(self) -> DataFrame:
+        if not exists(self.spark, self.folder):
+            return self.spark.createDataFrame([], "cid binary, block binary")
+        return self.spark.read.schema("cid binary, block binary").parquet(self.folder)
 
     def put(self, blocks: DataFrame) -> None:
         """Add rows (cid, block) that are not there yet."""
         new = blocks.select("cid", "block").dropDuplicates(["cid"]).join(self.table, "cid", "left_anti")
-        self.table = materialize(self.table.unionByName(new))
+        materialize(new).write.mode("append").parquet(self.folder)
+
+    def put_many(self, blocks: Iterable[bytes]) -> list[bytes]:
+        """Add blocks from the driver."""
+        rows = [(cid(b), b) for b in blocks]
+        self.put(self.spark.createDataFrame(rows, "cid binary, block binary"))
+        return [r[0] for r in rows]
+
+    def has(self, ids: DataFrame) -> DataFrame:
+        """(cid, there) for each distinct id."""
+        there = self.table.select("cid").withColumn("there", F.lit(True))
+        return ids.select("cid").distinct().join(there, "cid", "left").select("cid", F.coalesce("there", F.lit(False)).alias("there"))
 
     def get(self, ids: DataFrame) -> DataFrame:
         return self.table.join(ids.select("cid").distinct(), "cid", "left_semi")

@@ -9,14 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where that is unset."""
+    """``spark.checkpoint.dir``; on a local master a temporary folder where that is unset.  On a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="hornfels-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/hornfels-{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder that goes when the application ends."""
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it back: cuts the lineage, gives exact sizes, survives lost executors.
 
@@ -27,8 +43,6 @@ def materialize(df: DataFrame) -> DataFrame:
         from pyspark.sql import functions as F
 
         return materialize(df.select(F.lit(1).alias("_there"))).select()
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

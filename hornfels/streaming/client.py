@@ -6,6 +6,9 @@ evaluated over all facts up to the active epoch, and its sinks get all rows agai
 registered with ``changes=True`` gets the rows that were not there before, and with them those that went).
 
 ``rewind`` and ``replay`` move the active epoch; facts committed meanwhile stay staged until it is the latest again.
+
+The log is a table in a folder, one part for each epoch, with a table of the epochs' ids beside it that says which of
+them are complete.  A client over a folder that holds a log goes on from its last epoch.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from hornfels.errors import UnrecognizedRelation
 from hornfels.functions.content import epoch_cid
@@ -23,11 +27,11 @@ from hornfels.plans.compile_rule import CID
 from hornfels.plans.fixpoint import Evaluation
 from hornfels.sources import facts as facts_of
 from hornfels.sources.facts import InputTuple
-from hornfels.sources.scratch import materialize
+from hornfels.sources.scratch import exists, materialize, new_folder
 from hornfels.streaming.clock import Timestamp
 
-MAX_IDS = 100_000
-"""Facts of an epoch whose ids are chained one by one; beyond, the epoch's id chains a digest of them."""
+_LOGGED = StructType([*facts_of.SCHEMA.fields, StructField("epoch", LongType())])
+_IDS = "epoch long, id binary"
 
 
 @dataclass(frozen=True)
@@ -37,17 +41,23 @@ class FixpointEvent:
 
 
 class Client:
-    def __init__(self, spark: SparkSession, program: Program, on_fixpoint: Callable[[FixpointEvent], None] | None = None):
+    def __init__(self, spark: SparkSession, program: Program, on_fixpoint: Callable[[FixpointEvent], None] | None = None, log: str | None = None):
+        """log: the folder of the log; by default one that goes with the application."""
         self.spark, self.program, self.on_fixpoint = spark, program, on_fixpoint
         self.monotone = program.is_monotone()
         self.evaluation = Evaluation(spark, program)
-        self.log: list[DataFrame] = []
+        self.folder = log or new_folder(spark)
         self.epoch_ids: list[bytes] = []
-        self.active = 0  # number of epochs in view
         self.staged: list[DataFrame] = []
         self.sinks: dict[str, list[tuple[Callable, bool]]] = {}
         self.events: list[FixpointEvent] = []
         self._shown: dict[str, DataFrame] = {}
+        if exists(spark, f"{self.folder}/ids"):
+            rows = spark.read.schema(_IDS).parquet(f"{self.folder}/ids").distinct().orderBy("epoch").collect()  # a row for each epoch
+            self.epoch_ids = [bytes(r["id"]) for r in rows]
+        self.active = len(self.epoch_ids)  # number of epochs in view
+        if self.active:
+            self._evaluate(None)
 
     # input
 
@@ -83,25 +93,27 @@ class Client:
 
     def commit(self) -> FixpointEvent | None:
         """Make what is staged the next epoch.  Without new facts there is no epoch, but for the first."""
-        if self.active < len(self.log):
+        last = len(self.epoch_ids)
+        if self.active < last:
             return None
-        staged = [f.select(*facts_of.SCHEMA.names) for f in self.staged]
+        new = self.spark.createDataFrame([], facts_of.SCHEMA)
+        for f in self.staged:
+            new = new.unionByName(f.select(*facts_of.SCHEMA.names))
         self.staged = []
-        new = staged[0] if staged else self.spark.createDataFrame([], facts_of.SCHEMA)
-        for f in staged[1:]:
-            new = new.unionByName(f)
         new = new.dropDuplicates([CID])
-        for old in self.log:
-            new = new.join(old.select(CID), CID, "left_anti")
-        new = materialize(new.select(*facts_of.SCHEMA.names))
-        if self.log and new.isEmpty():
+        if last:
+            new = new.join(self.facts().select(CID), CID, "left_anti").select(*facts_of.SCHEMA.names)
+        place = f"{self.folder}/facts/epoch={last + 1}"
+        new.write.mode("overwrite").parquet(place)  # what a commit that failed has left goes
+        new = self.spark.read.schema(facts_of.SCHEMA).parquet(place)
+        n = new.count()
+        if last and not n:
             return None
-        self.log.append(new)
+        ids = (bytes(r[0]) for r in new.select(CID).orderBy(CID).toLocalIterator(prefetchPartitions=True))
+        id_ = epoch_cid(self.epoch_ids[-1] if last else None, n, ids)
+        self.spark.createDataFrame([(last + 1, id_)], _IDS).coalesce(1).write.mode("append").parquet(f"{self.folder}/ids")
+        self.epoch_ids.append(id_)
         self.active += 1
-        ids = [bytes(r[0]) for r in new.select(CID).orderBy(CID).limit(MAX_IDS + 1).collect()]
-        if len(ids) > MAX_IDS:
-            ids = [bytes(new.agg(F.unhex(F.sha2(F.hex(F.sum(F.xxhash64(CID).cast("decimal(20,0)")).cast("string")), 256))).first()[0])]
-        self.epoch_ids.append(epoch_cid(self.epoch_ids[-1] if self.epoch_ids else None, ids))
         return self._reach(new if self.monotone else None)
 
     def rewind(self) -> FixpointEvent | None:
@@ -113,7 +125,7 @@ class Client:
 
     def replay(self) -> FixpointEvent | None:
         """Move forward again."""
-        if self.active >= len(self.log):
+        if self.active >= len(self.epoch_ids):
             return None
         self.active += 1
         return self._reach(None)
@@ -122,19 +134,21 @@ class Client:
 
     def facts(self, epoch: int | None = None) -> DataFrame:
         """The facts as of an epoch (from 1; the active one by default) with the epoch that brought each."""
-        out = [f.withColumn("epoch", F.lit(k).cast("long")) for k, f in enumerate(self.log[: self.active if epoch is None else epoch], 1)]
-        frame = out[0] if out else self.spark.createDataFrame([], facts_of.SCHEMA).withColumn("epoch", F.lit(0).cast("long"))
-        for f in out[1:]:
-            frame = frame.unionByName(f)
-        return frame
+        upto = self.active if epoch is None else epoch
+        if not self.epoch_ids:
+            return self.spark.createDataFrame([], _LOGGED)
+        return self.spark.read.schema(_LOGGED).parquet(f"{self.folder}/facts").filter(F.col("epoch") <= min(upto, len(self.epoch_ids)))
 
-    def _reach(self, new: DataFrame | None) -> FixpointEvent:
+    def _evaluate(self, new: DataFrame | None) -> dict[str, DataFrame]:
+        """Bring the program to its fixpoint with new facts, or over all; returns the rows for the sinks."""
         if new is not None:
-            came = self.evaluation.extend(facts_of.inputs(new))
-        else:
-            self.evaluation.reset()
-            inputs = facts_of.inputs(self.facts())
-            came = self.evaluation.extend(inputs) if self.monotone else self.evaluation.run(inputs)
+            return self.evaluation.extend(facts_of.inputs(new))
+        self.evaluation.reset()
+        inputs = facts_of.inputs(self.facts())
+        return self.evaluation.extend(inputs) if self.monotone else self.evaluation.run(inputs)
+
+    def _reach(self, new: DataFrame | None) -> FixpointEvent:
+        came = self._evaluate(new)
         event = FixpointEvent(Timestamp(self.active, self.evaluation.iterations), self.epoch_ids[self.active - 1])
         for relation, sinks in self.sinks.items():
             rows = came.get(relation, self.evaluation.empty(relation))

@@ -14,7 +14,8 @@ def stream_into(client: Client, stream: DataFrame, to_facts: Callable[[DataFrame
     """Start a query that commits an epoch for each micro-batch of ``stream``.
 
     ``to_facts`` turns a batch into facts (:func:`hornfels.sources.facts.from_columns`).  A batch that is delivered
-    again after a failure brings no facts that are not there already, so it adds nothing.
+    again after a failure brings no facts that are not there already, so it adds nothing.  To go on after a restart the
+    client needs a log folder of its own (``log=``), since the checkpoint does not deliver what was committed again.
     """
 
     def batch(df: DataFrame, _: int) -> None:

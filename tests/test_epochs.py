@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hornfels.catalogue import register_program
 from hornfels.functions.aggregates import count
-from hornfels.functions.content import Link, cbor, cid, fact_cid, links_of, text
+from hornfels.functions.content import Link, cbor, cid, decode, fact_cid, links_of, text
 from hornfels.plans.builder import Program
 from hornfels.sources.blocks import BlockTable, BufferedBlocks, MemoryBlocks
 from hornfels.sources.facts import InputTuple, from_columns
@@ -158,3 +158,56 @@ def test_values_through_a_projection(spark):
     client.commit()
     assert sorted(r.value for r in client.relation("values").collect()) == [1, 2, 3, 4, 5]
     assert fact_cid("1", "value", Typed("s64", 1)) in {bytes(r[0]) for r in client.facts().select("_cid").collect()}
+
+
+def test_decoding():
+    for value in (0, -1, 2**64 - 1, 1.5, "ü", [1, [2, None]], {"a": {"b": b"raw"}, "c": True}, Link(cid(b"x"))):
+        assert decode(cbor(value)) == value and type(decode(cbor(value))) is type(value)
+    for broken in (b"", b"\x18", b"\x81", b"\x00\x00", b"\xf7", b"\xd8\x2b\x00", b"\x1c"):
+        with pytest.raises(ValueError):
+            decode(broken)
+    store = MemoryBlocks()
+    assert store.get_value(store.put_value({"x": [1]})) == {"x": [1]} and store.get_value(b"absent") is None
+
+
+def test_epoch_ids_chain_every_fact(spark):
+    client = Client(spark, paths())
+    facts = [InputTuple(k, "to", k + 1) for k in range(4)]
+    client.insert(facts[:3]), client.commit()
+    client.insert(facts[3]), client.commit()
+    first = cid(cbor({"prev": None, "tuples": [Link(x) for x in sorted(f.cid for f in facts[:3])]}))
+    assert client.epoch_ids == [first, cid(cbor({"prev": Link(first), "tuples": [Link(facts[3].cid)]}))]
+
+
+def test_a_log_outlives_its_client(spark, tmp_path):
+    log = str(tmp_path / "log")
+    client = Client(spark, paths(), log=log)
+    for k in range(2):
+        client.insert(InputTuple(k, "to", k + 1)), client.commit()
+    spark.createDataFrame([], client.facts().drop("epoch").schema).write.parquet(f"{log}/facts/epoch=3")  # of a commit that failed
+    again = Client(spark, paths(), log=log)
+    assert again.epoch_ids == client.epoch_ids and pairs(again.relation("path")) == closed(3)
+    again.insert(InputTuple(0, "to", 1), InputTuple(2, "to", 3)), again.commit()
+    assert pairs(again.relation("path")) == closed(4) and again.facts(2).count() == 2 and again.facts().count() == 3
+    again.rewind()
+    assert pairs(again.relation("path")) == closed(3)
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    source, mark, log = (str(tmp_path / x) for x in ("in", "mark", "log"))
+    for k in range(2):
+        spark.createDataFrame([(k, k + 1)], "a int, b int").coalesce(1).write.mode("append").parquet(source)
+        client = Client(spark, paths(), log=log)
+        stream = spark.readStream.schema("a int, b int").parquet(source)
+        stream_into(client, stream, lambda df: from_columns(df, pack(F.col("a"), "s32"), pack(F.lit("to"), "string"), pack(F.col("b"), "s32")), mark).awaitTermination(120)
+        assert pairs(client.relation("path")) == closed(k + 2) and len(client.epoch_ids) == k + 1
+
+
+def test_block_table_appends(spark, tmp_path):
+    table = BlockTable(spark, str(tmp_path / "blocks"))
+    assert table.table.count() == 0
+    keys = table.put_many([b"a", b"b"])
+    table.put_many([b"b", b"c"])
+    assert BlockTable(spark, str(tmp_path / "blocks")).table.count() == 3
+    there = table.has(spark.createDataFrame([(keys[0],), (cid(b"d"),)], "cid binary")).collect()
+    assert {bytes(r.cid): r.there for r in there} == {keys[0]: True, cid(b"d"): False}

@@ -276,3 +276,32 @@ def test_text_of_a_program():
     assert "stratum 0 (recursive): path" in shown and "path(from: x0, to: x2) :- edge(from: x0, to: x1), path(from: x1, to: x2)." in shown
 
 
+
+
+def test_atoms_are_joined_where_they_share_a_variable(spark):
+    """Written without a link between the first two; only groups without any link are crossed."""
+    p = Program(preamble=False).input("a", {"x": "s32"}).input("b", {"y": "s32"}).input("c", {"x": "s32", "y": "s32"}).output("r", {"x": "s32", "y": "s32"})
+    p.rule("r", ["s32"] * 2, lambda h, b, x, y: (h.bind({"x": x, "y": y}), b.search("a", {"x": x}).search("b", {"y": y}).search("c", {"x": x, "y": y})))
+    bound = {"a": rows(spark, p.declarations["a"], [{"x": k} for k in range(3)]), "b": rows(spark, p.declarations["b"], [{"y": k} for k in range(3)])}
+    bound["c"] = rows(spark, p.declarations["c"], [{"x": 1, "y": 2}, {"x": 2, "y": 9}, {"x": 0, "y": 0}])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = evaluate(spark, p, bound)["r"]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert sorted(tuple(r) for r in out.collect()) == [(0, 0), (1, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    from hornfels.plans.compile_rule import join_order
+
+    assert join_order([{"x"}, {"y"}, {"x", "y"}, {"z"}, {"y", "z"}]) == [0, 2, 1, 4, 3] and join_order([{"x"}, {"y"}]) == [0, 1]
+
+
+@pytest.mark.parametrize("storage", ["set", "cached", "bistore", "hexastore"])
+def test_storage_does_not_change_results(spark, storage):
+    p = Program(facts=storage, links=storage).output("edge", EDGE, storage=storage)
+    p.rule("edge", ["s32"] * 2, lambda h, b, x, y: (h.bind({"from": x, "to": y}), b.search("evac", {"entity": x, "attribute": "to", "value": y})))
+    assert derive(spark, closure(p), "path", [InputTuple(k, "to", k + 1) for k in range(4)]) == CHAIN
+    with pytest.raises(ValueError):
+        Program().output("other", EDGE, storage="heap")
