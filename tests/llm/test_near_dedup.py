@@ -18,6 +18,7 @@ def sets(text, size):
 
 
 def brute_force(rows, size):
+    """Component of each id: texts of one id are one document."""
     rows = [r for r in rows if r[0] is not None]
     parent = {r[0]: r[0] for r in rows}
 
@@ -70,6 +71,23 @@ def test_groups_edges_and_odd_rows(spark):
     assert {r.n_shingles for r in out if r.doc_id == ids[-1]} == {1}
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "v w x y z"), (9, "v w x y z"), (9, ""), (7, "q"), (7, None), (8, "r"), (8, "q")]
+    out = check(spark, rows)
+    assert {r.component_id for r in out if r.doc_id in (1, 5, 9)} == {1} and {r.component_id for r in out if r.doc_id in (7, 8)} == {7}
+    rng = random.Random(11)
+    texts = near_copies(25, 60, 6, 12) + near_copies(25, 40, 4, 13) + [f"alone {k} text here" for k in range(30)]
+    check(spark, [(rng.randrange(60), t) for t in texts])
+
+
+def test_a_very_long_text_is_compared_whole(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    other = words[:59_000] + [f"x{k}" for k in range(1000)]
+    half = words[:30_000]
+    check(spark, [(3, " ".join(words)), (2, " ".join(other)), (1, " ".join(half))])
+
+
 @pytest.mark.parametrize("part", [7, 2000])
 def test_hot_group_in_parts(spark, monkeypatch, part):
     """A chain-like group whose pairs lie around the threshold, with buckets cut into small parts."""

@@ -38,3 +38,30 @@ def test_stages(spark):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, equal ids and clashing columns; then no rows at all."""
+    long = " ".join(f"w{k % 9000}" for k in range(60_000))
+    rows = [(1, "alpha beta gamma delta epsilon zeta eta theta", "a"), (2, "", "b"), (3, None, None), (5, long, "b"), (5, long, "b"), (None, "a text without an id", "c"), (7, "the same old text", "a"), (8, "the same old text", None), (9, "alpha beta gamma delta epsilon zeta eta theta", "a"), (9, "another text of nine", "a")]
+    schema = "doc_id long, text string, source string, lang string, n_chars long, size long, taken long, piece int, kept boolean, score double, _x binary, n_lines int, gone long"
+    docs = spark.createDataFrame([(i, t, s, "en", len(t or ""), 1, 2, 3, True, 0.5, None, 4, 5) for i, t, s in rows], schema)
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")  # of one class: nothing is rejected
+    for name, own in (("all", docs), ("none", docs.limit(0))):
+        folder = str(tmp_path / name)
+        own.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        now, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
+        for stage, f in corpus_pipeline.STAGES:
+            now = persist(f(spark, now, folder))
+            seen[stage] = now
+            assert stage == "pack" or now.columns == docs.columns
+        if name == "none":
+            assert all(df.count() == 0 for df in seen.values())
+            continue
+        ids = {stage: Counter(r.doc_id for r in df.select("doc_id").collect()) for stage, df in seen.items()}
+        assert ids["quality"] == Counter(i for i, _, _ in rows)
+        assert ids["lines"] == ids["quality"] - Counter([9])  # all of its one line is in document 1
+        assert ids["near"] == ids["lines"] - Counter([8])
+        assert set(ids["mix"]) <= {1, 5, 7, 9, None} and max(Counter(ids["mix"]).values()) <= 4
+        assert ids["pack"].keys() == ids["mix"].keys()
