@@ -18,8 +18,9 @@ Rows of a hot bucket are split over tasks; links, components and sketches stay i
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; a text with fewer
 words than a shingle is one shingle of all of them; a null id takes no part and is kept with a null component;
-rows with an equal id are one document that links if any of its texts does; an empty table gives an empty result;
-extra columns are ignored.
+rows with an equal id are one document that links if any of its texts does, and all get its component (one of them
+without shingles too); a very long text is sketched and compared whole; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import in_slices, persist, release_memory, texts
+from hornfels.llm.common import in_slices, persist, release_memory, tasks, texts
 from hornfels.llm.components import connected_components
 
 BANDS, ROWS = 32, 4
@@ -41,9 +42,11 @@ SAMPLES = BANDS * ROWS
 BITS = 512
 LEAST = 0.6
 """Of the estimate."""
-PART = 2000
+PART = 1000
 """Documents of a bucket compared in one task."""
 MAX_BROADCAST = 50_000
+ROWS_OF_A_TASK = 500_000
+"""Of (band, document)."""
 
 _RNG = np.random.default_rng(20240)
 _SEEDS = _RNG.integers(0, 2**32, (SAMPLES, 1), dtype=np.uint32)
@@ -295,6 +298,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     sketches = persist(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, set_key binary, bands array<long>, odd binary"))
     taking = sketches.filter("set_key is not null and doc_id is not null")
     reps = persist(taking.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd")))
+    n = tasks(reps.count() * BANDS, ROWS_OF_A_TASK)
 
     # round one: the nearest earlier document of each bucket, large buckets in parts
     rows = reps.select(F.explode("bands").alias("band"), "rep", "odd")
@@ -307,7 +311,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
         rows = rows.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int"))
         parts = rows.select("band", "part", "rep", "odd").unionByName(firsts.select("band", "part", "rep", "odd"))
     parts = parts.select("band", F.col("part").cast("long").alias("part"), "rep", "odd")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = parts.repartition(n, "band", "part").sortWithinPartitions("band", "part").mapInArrow(_nearest, "a long, b long")
     found = persist(found.distinct())
     vertices = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id")))
@@ -315,17 +318,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
         hot = reps.select("rep", F.explode("bands").alias("band")).join(_small(large.select("band")), "band", "left_semi")
         vertices = vertices.unionByName(hot.select(F.col("rep").alias("doc_id")))
     vertices = persist(vertices.distinct())
-    wanted = docs.filter("doc_id is not null").mapInArrow(_press, "doc_id long, data binary").join(vertices, "doc_id", "left_semi")
+    wanted = docs.filter("doc_id is not null").mapInArrow(_press, "doc_id long, data binary").join(vertices.hint("shuffle_hash"), "doc_id", "left_semi")
     data = persist(wanted.dropDuplicates(["doc_id", "data"]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(data.withColumnRenamed("data", "x"), F.col("a") == F.col("doc_id")).drop("doc_id")
-        both = near.join(data.withColumnRenamed("data", "y"), F.col("b") == F.col("doc_id")).select("a", "b", "x", "y")
-        return persist(both.mapInArrow(_confirm(shingle, threshold), "a long, b long, linked boolean"))
+        near = pairs.join(data.withColumnRenamed("data", "x").hint("merge"), F.col("a") == F.col("doc_id")).drop("doc_id")
+        both = near.join(data.withColumnRenamed("data", "y").hint("merge"), F.col("b") == F.col("doc_id")).select("a", "b", "x", "y")
+        return both.mapInArrow(_confirm(shingle, threshold), "a long, b long, linked boolean").filter("linked").select("a", "b")
 
-    tested = confirm(found.filter("a <> b"))
-    of_class = persist(connected_components(tested.filter("linked").select("a", "b")))
-    near_rows = persist(reps.join(vertices, F.col("rep") == F.col("doc_id"), "left_semi").select("rep", "bands", "odd"))
+    of_class = connected_components(confirm(found.filter("a <> b")).unionByName(_same_document(taking, reps)))
+    near_rows = reps.join(vertices, F.col("rep") == F.col("doc_id"), "left_semi").select("rep", "bands", "odd")
     # round two: buckets that hold several components
     placed = near_rows.join(of_class, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
     placed = persist(placed.select("rep", "odd", "bands", "component"))
@@ -343,8 +345,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     mixed = own.select(*columns).unionByName(outside.select(*columns)).withColumn("part", F.col("part").cast("long"))
     mixed = mixed.join(placed, "rep").select(*columns, "component", "odd", "bands")
     schema = mixed.schema
-    taking = persist(mixed.repartition(n, "band", "part").sortWithinPartitions("band", "part").mapInArrow(_partners, schema))
-    with_data = taking.join(data, F.col("rep") == F.col("doc_id")).drop("doc_id")
+    partners = persist(mixed.repartition(n, "band", "part").sortWithinPartitions("band", "part").mapInArrow(_partners, schema))
+    with_data = partners.join(data.hint("merge"), F.col("rep") == F.col("doc_id")).drop("doc_id")
     fresh = with_data.repartition(n, "band", "part").sortWithinPartitions("band", "part").mapInArrow(_across(shingle, threshold), "a long, b long")
     fresh = persist(fresh.distinct())
     if not fresh.isEmpty():
@@ -356,12 +358,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
         alone = merged.join(label, "node", "left_anti").select("node", "component")
         of_class = persist(label.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(alone).distinct())
     component = reps.select("set_key", "rep").join(of_class, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", "set_key").join(persist(component), "set_key", "left")
-    component_id = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))
+    component = persist(component)
+    out = sketches.select("doc_id", "n_shingles", "set_key").join(component.hint("merge"), "set_key", "left")
+    # a row without shingles goes with the other rows of its id
+    empty = sketches.filter("set_key is null and doc_id is not null").select("doc_id").distinct()
+    others = taking.join(empty.hint("merge"), "doc_id", "left_semi").join(component, "set_key").groupBy("doc_id").agg(F.min("component").alias("other"))
+    others = others.withColumnRenamed("doc_id", "_id")
+    out = out.join(others, (F.col("doc_id") == F.col("_id")) & F.col("set_key").isNull(), "left")
+    component_id = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "other")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
 
+def _same_document(taking: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes of the texts of one id."""
+    several = taking.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").select("doc_id")
+    texts_ = taking.select("doc_id", "set_key").join(several.hint("merge"), "doc_id", "left_semi").join(reps.select("set_key", "rep"), "set_key")
+    first = texts_.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return texts_.join(first, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.  Rows with a null id stay."""
     drop = near_duplicates(docs, shingle, threshold).filter("not kept").select("doc_id").distinct()
-    return docs.join(persist(drop), "doc_id", "left_anti").select(*docs.columns)
+    # the ids are hashed and the texts stream past them, unsorted; the plan does not depend on sizes
+    return docs.join(persist(drop).hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)

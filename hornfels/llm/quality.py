@@ -9,7 +9,7 @@ cached Cholesky factor, tempered for the correlation of the statistics, plus the
 
 The statistics are computed once, written to the shared scratch folder, and read for fitting and for scoring.
 
-Edge cases: null and empty texts have the statistics of an empty text and are scored; labels that are null are
+Edge cases: null and empty texts have the statistics of an empty text and are scored; very long texts are measured whole; labels that are null are
 skipped; of several labels of a document each counts; without labelled documents of both classes every score is
 0.5; repeated rows are scored each; a null id has no label and counts as held in by its remainder (the crc32 of the
 empty string); an empty table gives an empty result; extra columns are ignored.
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType
 
 from hornfels.llm.common import in_slices, persist, release_memory, texts
 
@@ -90,6 +91,11 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
+@F.arrow_udf(returnType=BinaryType())
+def _statistics_of(column: pa.Array) -> pa.Array:
+    return pa.array([np.array(statistics(t or b""), "<f8").tobytes() for t in column.cast(pa.binary()).to_pylist()], pa.binary())
+
+
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and x, the packed statistics."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(_statistics, "doc_id long, x binary")
@@ -178,17 +184,18 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject, with the columns of ``docs``."""
-    stats = persist(document_statistics(docs))
-    model = fit(stats.filter(remainder(3) != 1), labels)
-    data, schema, names = pickle.dumps(model), docs.schema, docs.columns
-    where = names.index("text")
+    """The documents that the classifier does not reject, with the columns of ``docs``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _model(data)
-        for batch in in_slices(batches):
-            x = np.array([statistics(t) for t in texts(batch.column(where))]).reshape(-1, _N)
-            yield batch.filter(pa.array(own.scores(x) >= 0.5))
-        release_memory()
+    Only texts go to Python, once, and only statistics after that; the other columns stay in the JVM.
+    """
+    column = next(c for c in ("_x", "_x_", "_x__") if c not in docs.columns)
+    measured = persist(docs.withColumn(column, _statistics_of(docs["text"].cast("string"))))
+    stats = measured.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("x"))
+    data = pickle.dumps(fit(stats.filter(remainder(3) != 1), labels))
+
+    @F.arrow_udf(returnType=BooleanType())
+    def good(x: pa.Array) -> pa.Array:
+        rows = np.frombuffer(b"".join(x.to_pylist()), "<f8").reshape(-1, _N)
+        return pa.array(_model(data).scores(rows) >= 0.5)
 
-    return docs.mapInArrow(run, schema)
+    return measured.filter(good(column)).select(*docs.columns)
