@@ -8,6 +8,12 @@ but the last return the columns of documents:
 * near: one document of each near-duplicate group (five-word shingles, similarity 0.8 or more);
 * mix: each document as often as its source's target asks for, the last repetition of a source cut to its share;
 * pack: one row for each piece of at most 4096 tokens with its sequence and offset.
+
+Edge cases: null texts count as empty; the classifier scores them like any other, line dedup and near-dedup leave them,
+and the mix, which takes words, takes none of them; null ids stay until the mix, which deals them like others; rows of
+an equal id and text are one document, so they stay or go together; very long texts pass whole and are cut only by the
+last stage; without labels of both classes nothing is rejected; an empty table gives empty results; columns with names
+that stages use inside stay as they are.
 """
 
 from __future__ import annotations
