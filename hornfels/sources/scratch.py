@@ -33,6 +33,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def write_mark(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all."""
+    target, part = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.part"))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not files.rename(part, target):
+        raise OSError(f"cannot write {path}")
+
+
+def read_marks(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The small files of a folder by name."""
+    jvm, place = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    marks = {}
+    for status in files.listStatus(place) if files.exists(place) else []:
+        name = status.getPath().getName()
+        if not name.endswith((".part", ".crc")):
+            stream = files.open(status.getPath())
+            try:
+                marks[name] = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+    return marks
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it back: cuts the lineage, gives exact sizes, survives lost executors.
 

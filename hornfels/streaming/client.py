@@ -7,8 +7,8 @@ registered with ``changes=True`` gets the rows that were not there before, and w
 
 ``rewind`` and ``replay`` move the active epoch; facts committed meanwhile stay staged until it is the latest again.
 
-The log is a table in a folder, one part for each epoch, with a table of the epochs' ids beside it that says which of
-them are complete.  A client over a folder that holds a log goes on from its last epoch.
+The log is a table in a folder, one part for each epoch, with a small file for each epoch's id beside it that says which
+of them are complete.  A client over a folder that holds a log goes on from its last epoch.
 """
 
 from __future__ import annotations
@@ -27,11 +27,10 @@ from hornfels.plans.compile_rule import CID
 from hornfels.plans.fixpoint import Evaluation
 from hornfels.sources import facts as facts_of
 from hornfels.sources.facts import InputTuple
-from hornfels.sources.scratch import exists, materialize, new_folder
+from hornfels.sources.scratch import materialize, new_folder, read_marks, write_mark
 from hornfels.streaming.clock import Timestamp
 
 _LOGGED = StructType([*facts_of.SCHEMA.fields, StructField("epoch", LongType())])
-_IDS = "epoch long, id binary"
 
 
 @dataclass(frozen=True)
@@ -47,14 +46,12 @@ class Client:
         self.monotone = program.is_monotone()
         self.evaluation = Evaluation(spark, program)
         self.folder = log or new_folder(spark)
-        self.epoch_ids: list[bytes] = []
         self.staged: list[DataFrame] = []
         self.sinks: dict[str, list[tuple[Callable, bool]]] = {}
         self.events: list[FixpointEvent] = []
         self._shown: dict[str, DataFrame] = {}
-        if exists(spark, f"{self.folder}/ids"):
-            rows = spark.read.schema(_IDS).parquet(f"{self.folder}/ids").distinct().orderBy("epoch").collect()  # a row for each epoch
-            self.epoch_ids = [bytes(r["id"]) for r in rows]
+        marks = read_marks(spark, f"{self.folder}/ids")  # one for each complete epoch
+        self.epoch_ids = [bytes.fromhex(marks[name]) for name in sorted(marks)]
         self.active = len(self.epoch_ids)  # number of epochs in view
         if self.active:
             self._evaluate(None)
@@ -111,7 +108,7 @@ class Client:
             return None
         ids = (bytes(r[0]) for r in new.select(CID).orderBy(CID).toLocalIterator(prefetchPartitions=True))
         id_ = epoch_cid(self.epoch_ids[-1] if last else None, n, ids)
-        self.spark.createDataFrame([(last + 1, id_)], _IDS).coalesce(1).write.mode("append").parquet(f"{self.folder}/ids")
+        write_mark(self.spark, f"{self.folder}/ids/{last + 1:012d}", id_.hex())
         self.epoch_ids.append(id_)
         self.active += 1
         return self._reach(new if self.monotone else None)
