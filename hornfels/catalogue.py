@@ -607,11 +607,11 @@ def _epochs(spark, sf_dir):
 
 
 def _fill(spark, sf_dir, client):
-    e = _table(spark, sf_dir, "events")
-    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    e = _table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    low, high = e.agg(F.min("at"), F.max("at")).first()
     for k in range(4):
-        at, to = low + (high - low + 1) * k // 4, low + (high - low + 1) * (k + 1) // 4
-        part = e.filter((F.col("event_id") >= at) & (F.col("event_id") < to))
+        since, before = low + (high - low + 1) * k // 4, low + (high - low + 1) * (k + 1) // 4
+        part = e.filter((F.col("at") >= since) & (F.col("at") < before))
         client.insert_frame(from_columns(part, pack(F.col("user_id"), "s64"), pack(F.col("event_type"), "string"), pack(F.col("value"), "f64")))
         client.commit()
     return client
@@ -652,8 +652,8 @@ def stream_recompute(spark, sf_dir):
     return _fill(spark, sf_dir, Client(spark, p)).relation("per")
 
 
-@register("""SELECT DISTINCT user_id, event_type FROM events, (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events)
-WHERE event_id < lo + (hi - lo + 1) * 2 // 4""")
+@register("""SELECT DISTINCT user_id, event_type FROM events, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)
+WHERE epoch_us(ts) < lo + (hi - lo + 1) * 2 // 4""")
 def epoch_asof(spark, sf_dir):
     """Two epochs back from the fourth."""
     client = _epochs(spark, sf_dir)
