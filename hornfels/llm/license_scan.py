@@ -7,7 +7,8 @@ is suppressed.  So "apache license version 2 0" reports the version and not the
 
 The work is one pass over the texts without any shuffle; memory holds one Arrow batch.
 
-Edge cases: null and empty texts have no words, no places, empty labels and score 0; a null id stays null;
+Edge cases: null and empty texts have no words, no places, empty labels and score 0; very long texts are scanned whole;
+detections of equal priority and length are taken in the order of the rules, then of the text; a null id stays null;
 repeated rows are scanned each; an empty table gives an empty result; other columns are ignored.
 """
 

@@ -13,7 +13,7 @@ word that holds a large part of all tokens is one entry of each block, so no tas
 their block, which computes the scores of its documents.  Requests are shuffled once and never stored besides: the
 blocks take the same shuffle, and the table of blocks and answers is what the later steps read.
 
-Edge cases: a null or empty text is the end token alone; a null id counts as the empty string for its fold; repeated
+Edge cases: a null or empty text is the end token alone; a very long text is counted and scored whole, in one block; a null id counts as the empty string for its fold; repeated
 rows count and are scored each; without training tokens base_score is that of c = N = V = 0 and the model is
 uniform; an empty table gives an empty result; extra columns are ignored.
 """

@@ -11,7 +11,7 @@ taken from the documents of the source in the order of a seeded hash; the docume
 words only.  The edge is found in two steps, so that no task sees more than 1/4096 of a source: sums by source and
 hash bucket, then a running sum inside the one bucket that holds the edge.
 
-Edge cases: a null text has size 0 and takes nothing; a null source is a source of its own, ordered last;
+Edge cases: a null text has size 0 and takes nothing; a very long text counts whole; a null source is a source of its own, ordered last;
 documents with equal ids are ordered by their size; repeated rows count as often as they occur; an empty table
 gives an empty result; a target of a source without words is 0.  Columns of ``docs`` are kept; the five that are
 added win over columns of the same name.

@@ -24,6 +24,8 @@ PIECES = 400_000
 """Entries of each of the two generations of the cache of a Python worker."""
 LONGEST = 200
 """Characters of what the cache keeps."""
+WINDOW = 2_000_000
+"""Characters of a longer text that are cut at once."""
 JOINED, CALL = 24, 170
 """New pieces in one text, and texts in one call of the library."""
 
@@ -126,6 +128,11 @@ class Encoder:
         return [t.split() for t in marked] if self.words else [t.split("\x1e") for t in marked]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if any(len(t) > WINDOW for t in texts):
+            return [b"".join([self._encode([w])[0] for w in windows(t)]) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         plain = [t for t in texts if not _odd(t)]
         lists = self.cut(plain) if plain else []
         wanted: set[str] = set()
@@ -164,6 +171,20 @@ class _Cache:
         return out
 
 
+def windows(text: str) -> list[str]:
+    """A very long text in parts that read alike alone: each but the first begins with a lone space."""
+    out, at = [], 0
+    while not _odd(text) and len(text) - at > WINDOW:
+        p = text.find(" ", at + WINDOW)
+        while 0 < p < len(text) - 1 and (text[p - 1].isspace() or text[p + 1].isspace()):
+            p = text.find(" ", p + 1)
+        if not 0 < p < len(text) - 1:
+            break
+        out.append(text[at:p])
+        at = p
+    return [*out, text[at:]]
+
+
 def _odd(text: str) -> bool:
     return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
 
