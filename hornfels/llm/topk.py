@@ -1,20 +1,25 @@
 """Exact top-k search by inner product with block-at-a-time pruning.
 
-Vectors become integer vectors; a dimension is a term, its component the term's weight.  Rows are dealt to shards.
-In a shard the rows are put in an order that brings similar ones together (nearest of a few pivots), and the order
-is cut into blocks.  For each block the largest and the smallest weight of every term are kept.  Their sum over the
-terms of a query (largest weights for positive query weights, smallest for negative ones) bounds every score in the
-block.  Each query visits blocks from the highest bound down, scores them through their forward index (the rows of
-the block), and stops when the next bound falls below its kth score.  No result can be lost: a block is skipped
-only when its bound is below the kth score, ties included.
+Vectors become integer vectors; a dimension is a term, its component the term's weight.  The largest and the smallest
+weight of every term in a set of rows, summed over the terms of a query (largest for its positive weights, smallest
+for negative ones), bound every score in the set.  Bounds prune at two levels:
 
-Queries are dealt to chunks, and every (shard, chunk) is one task that returns k rows a query at most; a window over
-each query's rows merges them.  Memory of a task is bounded by the sizes of a shard and a chunk.
+* Rows are dealt to groups by their best of at most ``PIVOTS`` pivots, a bounded sample of the rows (any choice gives
+  right results), large groups in shards.  The groups' extreme weights are few and go to all tasks.  Each query first
+  searches one shard of the group of highest bound; its kth score there is a floor for the result.  Then it goes only
+  to the groups whose bound reaches the floor, and brings back only rows that do.
+* In a shard, rows are put in an order that brings similar ones together and cut into blocks.  A query visits blocks
+  from the highest bound down, scores them through their forward index (the rows of the block), and stops when the
+  next bound falls below its kth score or its floor.
+
+No result can be lost: a set is skipped only when its bound is below the kth score, ties included.  Queries of a shard
+are dealt to chunks, and memory of a task is bounded by the sizes of a shard and a chunk; a window over each query's
+rows merges them.
 
 Edge cases: a vector that is null, or holds a null or a non-finite component, takes no part; vectors are compared
 with those of equal length only; ties go to the smaller vec_id; a row never meets itself, but equal rows with other
 or repeated ids do meet; fewer than k candidates give fewer rows; an empty table gives an empty result; scores are
-exact while they fit in a long.
+exact while they fit in a long; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import bucket_of, persist
+from hornfels.llm.common import persist
 
 SCALE = 64
 K = 20
 SHARD = 12_000
 CHUNK = 8_000
 BLOCK = 128
+PIVOTS, PIVOT_CELLS = 1024, 2**20
+"""Most pivots, and most components of all of them."""
+ROWS_OF_A_PIVOT = 1_000
 
 
 def _vectors(every: int, scale: int):
@@ -58,8 +66,11 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.array(rows, np.float64).reshape(len(rows), dim)
 
 
-def search_shard(ids: np.ndarray, uids: np.ndarray, x: np.ndarray, query_uids: np.ndarray, q: np.ndarray, k: int = K, block: int = BLOCK):
-    """(query number, row number, score) of the k best rows for each query, the query's own row left out."""
+def search_shard(ids: np.ndarray, uids: np.ndarray, x: np.ndarray, query_uids: np.ndarray, q: np.ndarray, k: int = K, block: int = BLOCK, floor: np.ndarray | None = None):
+    """(query number, row number, score) of the k best rows for each query, the query's own row left out.
+
+    floor: least score of each query's rows that matters.
+    """
     n, nq = len(x), len(q)
     top = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1])
     kind = np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64
@@ -81,9 +92,10 @@ def search_shard(ids: np.ndarray, uids: np.ndarray, x: np.ndarray, query_uids: n
         visit = np.argsort(-bound, axis=1, kind="stable")
         best = np.full((len(part), k), -np.inf if kind != np.int64 else np.iinfo(np.int64).min, kind)
         rows = np.full((len(part), k), -1, np.int64)
+        least = best[:, -1].copy() if floor is None else np.maximum(best[:, -1], floor[a : a + 1024].astype(kind))
         for step in range(len(starts)):
             at = visit[:, step]
-            alive = np.flatnonzero(bound[np.arange(len(part)), at] >= best[:, -1])
+            alive = np.flatnonzero(bound[np.arange(len(part)), at] >= least)
             if not len(alive):
                 break
             alive = alive[np.argsort(at[alive], kind="stable")]
@@ -91,19 +103,119 @@ def search_shard(ids: np.ndarray, uids: np.ndarray, x: np.ndarray, query_uids: n
                 lo = at[group[0]] * block
                 score = part[group] @ x[lo : lo + block].T
                 number = np.arange(lo, lo + score.shape[1])
-                hopeful = (score >= best[group, -1:]) & (uids[number][None, :] != own[group][:, None])
+                hopeful = (score >= least[group, None]) & (uids[number][None, :] != own[group][:, None])
                 for g in np.flatnonzero(hopeful.any(axis=1)):
                     r = group[g]
                     s = np.concatenate([best[r][rows[r] >= 0], score[g][hopeful[g]]])
                     m = np.concatenate([rows[r][rows[r] >= 0], number[hopeful[g]]])
                     keep = np.lexsort((rank[m], -s))[:k]
                     best[r, : len(keep)], rows[r, : len(keep)] = s[keep], m[keep]
+                    least[r] = max(least[r], best[r, -1])
         r, c = np.nonzero(rows >= 0)
         out.append((r + a, order[rows[r, c]], best[r, c].astype(np.int64)))
     return [np.concatenate(p) for p in zip(*out)] if out else [np.empty(0, np.int64)] * 3
 
 
-def _pair(k: int, block: int):
+class Groups:
+    """The pivots of each length of vectors, and later the extreme weights of their groups."""
+
+    def __init__(self, pivots: dict[int, np.ndarray]):
+        self.pivots = pivots
+        self.extremes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The pivot of each row, -1 where its length has none."""
+        pivots = self.pivots.get(x.shape[1])
+        if pivots is None:
+            return np.full(len(x), -1)
+        return (x @ pivots.T - 0.5 * (pivots * pivots).sum(axis=1)).argmax(axis=1)
+
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the groups, and for each query a bound of the scores in each."""
+        own = self.extremes.get(q.shape[1])
+        if own is None:
+            return np.array([-1]), np.full((len(q), 1), np.inf)
+        numbers, largest, smallest = own
+        out = np.maximum(q, 0) @ largest.T + np.minimum(q, 0) @ smallest.T
+        return numbers, out + np.abs(out) * 1e-9  # scores beyond 2**53 are rounded
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, matrix) of the vectors of a batch with columns dim and data."""
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        yield int(dim), at, _matrix(batch.column("data").take(pa.array(at)), int(dim))
+
+
+def _assign(groups: Groups):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pivot = np.full(batch.num_rows, -1, np.int32)
+            for _, at, x in _by_length(batch):
+                pivot[at] = groups.nearest(x)
+            yield batch.append_column("pivot", pa.array(pivot))
+
+    return run
+
+
+def _extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Largest and smallest weights of each group in a task, -1 left out."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        pivots = batch.column("pivot").to_numpy()
+        for dim, at, x in _by_length(batch):
+            for p in np.unique(pivots[at]):
+                if p >= 0:
+                    own = x[pivots[at] == p]
+                    now = np.stack([own.max(axis=0), -own.min(axis=0)]) if dim else np.zeros((2, 0))
+                    held[dim, int(p)] = np.maximum(held[dim, int(p)], now) if (dim, int(p)) in held else now
+    rows = [(d, p, x.astype("<f8").tobytes()) for (d, p), x in held.items()]
+    yield _extreme_rows(rows)
+
+
+def _extreme_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, (pa.int32(), pa.int32(), pa.binary()))], ["dim", "pivot", "x"])
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    x = np.frombuffer(b"".join(table.column("x").to_pylist()), "<f8").reshape(table.num_rows, -1).max(axis=0)
+    return pa.Table.from_batches([_extreme_rows([(table.column("dim")[0].as_py(), table.column("pivot")[0].as_py(), x.tobytes())])])
+
+
+def _homes(groups: Groups):
+    """Each query's group of highest bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home = np.full(batch.num_rows, -1, np.int32)
+            for _, at, q in _by_length(batch):
+                numbers, bound = groups.bounds(q)
+                home[at] = numbers[bound.argmax(axis=1)]
+            yield batch.append_column("pivot", pa.array(home))
+
+    return run
+
+
+def _visits(groups: Groups):
+    """The groups whose bound reaches the floor, a row for each query with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            floor = batch.column("floor").to_numpy(zero_copy_only=False)
+            out: list[list[int]] = [[]] * batch.num_rows
+            for _, at, q in _by_length(batch):
+                numbers, bound = groups.bounds(q)
+                for k, there in zip(at.tolist(), bound >= floor[at, None].astype(np.float64)):
+                    out[k] = numbers[there].tolist()
+            yield batch.append_column("pivots", pa.array(out, pa.list_(pa.int32())))
+
+    return run
+
+
+def _pair(k: int, block: int, floors: bool):
+    """The best rows of each query of a chunk in a shard; for floors only the kth score of those that have so many."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_uid", "query_id", "vec_id", "score"]
         if not left.num_rows or not right.num_rows:
@@ -111,23 +223,60 @@ def _pair(k: int, block: int):
         dim = left.column("dim")[0].as_py()
         ids, uids = left.column("vec_id").to_numpy(), left.column("uid").to_numpy()
         query_uids = right.column("uid").to_numpy()
-        r, c, s = search_shard(ids, uids, _matrix(left.column("data"), dim), query_uids, _matrix(right.column("data"), dim), k, block)
+        floor = None if floors else right.column("floor").to_numpy()
+        r, c, s = search_shard(ids, uids, _matrix(left.column("data"), dim), query_uids, _matrix(right.column("data"), dim), k, block, floor)
+        if floors:
+            found, least = np.bincount(r, minlength=len(query_uids)), np.full(len(query_uids), np.iinfo(np.int64).max)
+            np.minimum.at(least, r, s)
+            r = np.flatnonzero(found >= k)
+            return pa.table([query_uids[r], right.column("vec_id").to_numpy()[r], query_uids[r], least[r]], names)
         return pa.table([query_uids[r], right.column("vec_id").to_numpy()[r], ids[c], s], names)
 
     return run
 
 
-def top_k(vectors: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, shard: int = SHARD, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+_FOUND = "query_uid long, query_id long, vec_id long, score long"
+_LOWEST = -(2**63)
+
+
+def top_k(vectors: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, shard: int = SHARD, chunk: int = CHUNK, block: int = BLOCK, rows_of_a_pivot: int = ROWS_OF_A_PIVOT) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k highest scores of each row whose vec_id is divisible by ``every``."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_vectors(every, scale), "vec_id long, dim int, is_query boolean, data binary")
-    rows = persist(rows.withColumn("uid", F.monotonically_increasing_id()))
-    n, nq = rows.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
-    shards, chunks = -(-n // shard) or 1, -(-nq // chunk) or 1
-    shard_of, chunk_of = bucket_of(F.col("uid"), shards), bucket_of(F.col("uid") + 1, chunks)
-    left = rows.withColumn("shard", shard_of).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    right = rows.filter("is_query").withColumn("chunk", chunk_of).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    keys = ("dim", "shard", "chunk")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_pair(k, block), "query_uid long, query_id long, vec_id long, score long")
+    schema = "vec_id long, dim int, is_query boolean, data binary"
+    made = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_vectors(every, scale), schema)
+    made = persist(made.withColumn("uid", F.monotonically_increasing_id()))
+    n, longest = made.agg(F.count(F.lit(1)), F.max("dim")).first()
+    few = max(1, min(n // rows_of_a_pivot, PIVOTS, PIVOT_CELLS // max(1, longest or 1)))
+    sample = made.orderBy(F.xxhash64("uid"), "uid").select("dim", "data").limit(few).toArrow()  # a bounded sample
+    pivots: dict[int, list[bytes]] = {}
+    for dim, data in zip(sample.column("dim").to_pylist(), sample.column("data").to_pylist()):
+        pivots.setdefault(dim, []).append(data)
+    groups = Groups({d: _matrix(pa.array(x, pa.binary()), d) for d, x in pivots.items()})
+    rows = persist(made.mapInArrow(_assign(groups), schema + ", uid long, pivot int"))
+    partial = rows.select("dim", "data", "pivot").mapInArrow(_extremes, "dim int, pivot int, x binary")
+    for dim, pivot, x in sorted(partial.groupBy("dim", "pivot").applyInArrow(_merge, "dim int, pivot int, x binary").collect()):  # a row for each pivot at most
+        groups.extremes.setdefault(dim, []).append((pivot, np.frombuffer(x, "<f8").reshape(2, dim)))
+    groups.extremes = {d: (np.array([p for p, _ in own], np.int32), np.array([x[0] for _, x in own]), -np.array([x[1] for _, x in own])) for d, own in groups.extremes.items()}
+    sizes = persist(rows.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards")))
+    group, key = ["dim", "pivot"], ["dim", "pivot", "shard"]
+    rows = rows.join(sizes, group).withColumn("shard", F.pmod(F.xxhash64("uid"), F.col("shards")).cast("int"))
+
+    def search(queries: DataFrame, floors: bool) -> DataFrame:
+        """queries: rows with dim, pivot and shard, several for one query where it visits several shards."""
+        chunks = persist(queries.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")))
+        left = rows.join(chunks, key).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        right = queries.join(chunks, key).withColumn("chunk", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("chunks")).cast("int"))
+        left, right = (x.groupBy(*key, "chunk") for x in (left.select(*key, "chunk", "vec_id", "uid", "data"), right.select(*key, "chunk", "vec_id", "uid", "data", *(["floor"] if not floors else []))))
+        return left.cogroup(right).applyInArrow(_pair(k, block, floors), _FOUND)
+
+    query_schema = "vec_id long, uid long, dim int, data binary"
+    queries = made.filter("is_query").select("vec_id", "uid", "dim", "data")
+    home = queries.mapInArrow(_homes(groups), query_schema + ", pivot int").join(sizes, group)
+    floors = search(home.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(2)), F.col("shards")).cast("int")).drop("shards"), True)
+    known = queries.join(floors.select(F.col("query_uid").alias("uid"), F.col("score").alias("floor")), "uid", "left").withColumn("floor", F.coalesce("floor", F.lit(_LOWEST)))
+    visits = known.select("vec_id", "uid", "dim", "data", "floor").mapInArrow(_visits(groups), query_schema + ", floor long, pivots array<int>")
+    visits = persist(visits).withColumn("pivot", F.explode("pivots")).drop("pivots").join(sizes, group)
+    visits = visits.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    found = search(visits, False)
     place = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

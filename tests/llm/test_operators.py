@@ -280,6 +280,22 @@ def test_encoder_equals_the_library(name, is_words, rows):
         assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == expected
 
 
+@pytest.mark.parametrize(("name", "is_words"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_cuts_very_long_texts_where_it_does_not_matter(name, is_words, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from hornfels.llm import tokens
+
+    monkeypatch.setattr(tokens, "WINDOW", 40)
+    rng = random.Random(7)
+    parts = ["a", "Word", "it's", ".", "  ", " ", " ", " ", "\n", "\n\n", "é", "é", "12", "…", "$$", "İx", "K", "中文", "J̌", "\t", "\xa0", "\x1c"]
+    texts = ["".join(rng.choice(parts[: 22 if k % 9 == 0 else 21]) for _ in range(rng.randrange(400))) for k in range(200)]
+    reference = Tokenizer.from_file(default_path(name))
+    expected = [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in Encoder(default_path(name), is_words).encode(texts)] == expected
+    assert sum(len(tokens.windows(t)) for t in texts) > 2 * len(texts)
+
+
 def sound(out, capacity):
     by_sequence = {}
     for r in out:
@@ -571,13 +587,14 @@ def test_fingerprints_of_odd_tables(odd):
 # 9 top-k
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("rows_of_a_pivot", [25, 1000])
+def test_top_k(spark, rows_of_a_pivot):
     rng = np.random.default_rng(2)
     vectors = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in rng.permutation(230)]
     vectors += [(300, None), (320, [0.1, None, 0.2, 0.1, 0.0, 0.0]), (340, [float("nan")] * 6), (360, [float("inf")] * 6), (380, [0.5] * 3), (381, [0.25] * 3), (400, vectors[0][1]), (401, vectors[0][1]), (None, vectors[0][1])]
     df = spark.createDataFrame([(i, v, 7, 1) for i, v in vectors], "vec_id long, embedding array<double>, label int, score int")
     got = {}
-    for r in topk.top_k(df, k=5, shard=60, chunk=9, block=8).collect():
+    for r in topk.top_k(df, k=5, shard=60, chunk=9, block=8, rows_of_a_pivot=rows_of_a_pivot).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     good = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     for i, q in good:
