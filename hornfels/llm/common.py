@@ -18,28 +18,47 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    On a local master a temporary folder does where it is unset; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="hornfels-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/hornfels-{spark.sparkContext.applicationId}"
 
 
+def _place(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def persist(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
     This cuts the lineage: a lost executor costs only the tasks that read the table.  The files go when the
-    application ends.
+    application ends, or before with :func:`forget`.
     """
     spark = spark or df.sparkSession
     bounded_batches(spark)
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, files = _place(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete persisted tables that no plan reads any more: what was made of them is written itself."""
+    for df in tables:
+        target, files = _place(df.sparkSession, df._scratch)
+        files.delete(target, True)
 
 
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20), "spark.sql.parquet.columnarReaderBatchSize": "1024"}
@@ -58,7 +77,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def tasks(amount: int, of_a_task: int) -> int:
     """Tasks for an amount of work: those of the session's shuffles, or as many more as the data ask for."""
-    set_ = int(SparkSession.getActiveSession().conf.get("spark.sql.shuffle.partitions"))
+    set_ = int((SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()).conf.get("spark.sql.shuffle.partitions"))
     return max(set_, -(-int(amount) // of_a_task))
 
 

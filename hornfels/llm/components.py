@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import persist
+from hornfels.llm.common import forget, persist
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -27,8 +27,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         smallest = persist(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
         large = both.filter("b > a").join(smallest, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = persist(large.filter("a <> b").distinct())
+        forget(edges, smallest)
         smallest = persist(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"))
         small = large.join(smallest, F.col("a") == F.col("u")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = persist(small.unionByName(smallest.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+        forget(large, smallest)
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

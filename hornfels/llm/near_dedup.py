@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import in_slices, persist, release_memory, tasks, texts
+from hornfels.llm.common import forget, in_slices, persist, release_memory, tasks, texts
 from hornfels.llm.components import connected_components
 
 BANDS, ROWS = 32, 4
@@ -359,6 +359,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
         of_class = persist(label.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(alone).distinct())
     component = reps.select("set_key", "rep").join(of_class, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     component = persist(component)
+    forget(reps, large, found, vertices, data, placed, active, partners, fresh)
     out = sketches.select("doc_id", "n_shingles", "set_key").join(component.hint("merge"), "set_key", "left")
     # a row without shingles goes with the other rows of its id
     empty = sketches.filter("set_key is null and doc_id is not null").select("doc_id").distinct()
