@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import in_slices, persist, texts
+from hornfels.llm.common import forget, in_slices, persist, texts
 
 BLOCK_WORDS = 8
 SEGMENT = 1024
@@ -191,17 +191,23 @@ def _align(block_words: int):
     return run
 
 
-def deleted_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, segment: int = SEGMENT, part: int = PART) -> DataFrame:
-    """(doc_id, h, gone): which lines to delete of each document that has any, 64 to a long; h: xxhash64 of the text."""
+def deleted_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, segment: int = SEGMENT, part: int = PART, used: list[DataFrame] | None = None) -> DataFrame:
+    """(doc_id, h, gone): which lines to delete of each document that has any, 64 to a long; h: xxhash64 of the text.
+
+    used: gets the persisted tables that the result reads.
+    """
     keyed = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     parts = persist(keyed.mapInArrow(_segments(block_words, segment), _SEGMENTS))
     anchors = parts.select("doc_id", "h", "seg", F.explode("runs").alias("run"))
     first = anchors.groupBy("run").agg(F.min(F.struct("doc_id", "h", "seg")).alias("f"), F.max(F.struct("doc_id", "h")).alias("l"))
-    first = first.filter("f.doc_id <> l.doc_id or f.h <> l.h").select("run", F.col("f.doc_id").alias("f_id"), F.col("f.h").alias("f_h"), F.col("f.seg").alias("f_seg"))
+    # this and what follows is written, so that both sides of each join are exchanges and a hot key can be split
+    first = persist(first.filter("f.doc_id <> l.doc_id or f.h <> l.h").select("run", F.col("f.doc_id").alias("f_id"), F.col("f.h").alias("f_h"), F.col("f.seg").alias("f_seg")))
     links = anchors.join(first.hint("merge"), "run").filter("doc_id <> f_id or h <> f_h").select("doc_id", "h", "seg", "f_id", "f_h", "f_seg")
     links = persist(links.distinct())
     earlier_key, later_key = ["f_id", "f_h", "f_seg"], ["doc_id", "h", "seg"]
-    dealt = links.groupBy(*earlier_key).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    dealt = persist(links.groupBy(*earlier_key).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts")))
+    if used is not None:
+        used += [parts, first, links, dealt]
     once = parts.drop("runs").dropDuplicates(later_key)
     holders = once.join(dealt.hint("merge"), [F.col(a) == F.col(b) for a, b in zip(later_key, earlier_key)])
     holders = holders.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(0))
@@ -219,7 +225,10 @@ def deleted_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, segment: int
 def line_dedup(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with shortened texts, n_lines (before) and n_deleted; settings are those of :func:`deleted_lines`."""
     docs = docs.drop("n_lines", "n_deleted")
-    gone = persist(deleted_lines(docs, **settings)).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
+    used: list[DataFrame] = []
+    gone = persist(deleted_lines(docs, **settings, used=used))
+    forget(*used)
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
     # the side of the numbers is hashed and the texts stream past it, unsorted; the plan does not depend on sizes
     out = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
