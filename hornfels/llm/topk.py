@@ -5,9 +5,10 @@ weight of every term in a set of rows, summed over the terms of a query (largest
 for negative ones), bound every score in the set.  Bounds prune at two levels:
 
 * Rows are dealt to groups by their best of at most ``PIVOTS`` pivots, a bounded sample of the rows (any choice gives
-  right results), large groups in shards.  The groups' extreme weights are few and go to all tasks.  Each query first
-  searches one shard of the group of highest bound; its kth score there is a floor for the result.  Then it goes only
-  to the groups whose bound reaches the floor, and brings back only rows that do.
+  right results), large groups in shards.  The groups' extreme weights are few and go to all tasks.  Each query visits
+  groups from the highest bound down in rounds, first one, then those up to the 4th, the 16th and so on.  After each
+  round its kth score so far is a floor: it goes only to groups whose bound reaches it, and brings back only rows that
+  do, so a few times k rows a round however many groups there are.
 * In a shard, rows are put in an order that brings similar ones together and cut into blocks.  A query visits blocks
   from the highest bound down, scores them through their forward index (the rows of the block), and stops when the
   next bound falls below its kth score or its floor.
@@ -40,7 +41,7 @@ CHUNK = 8_000
 BLOCK = 128
 PIVOTS, PIVOT_CELLS = 1024, 2**20
 """Most pivots, and most components of all of them."""
-ROWS_OF_A_PIVOT = 1_000
+ROWS_OF_A_PIVOT = 2_000
 
 
 def _vectors(every: int, scale: int):
@@ -183,22 +184,8 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_extreme_rows([(table.column("dim")[0].as_py(), table.column("pivot")[0].as_py(), x.tobytes())])])
 
 
-def _homes(groups: Groups):
-    """Each query's group of highest bound."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            home = np.full(batch.num_rows, -1, np.int32)
-            for _, at, q in _by_length(batch):
-                numbers, bound = groups.bounds(q)
-                home[at] = numbers[bound.argmax(axis=1)]
-            yield batch.append_column("pivot", pa.array(home))
-
-    return run
-
-
-def _visits(groups: Groups):
-    """The groups whose bound reaches the floor, a row for each query with their numbers."""
+def _visits(groups: Groups, first: int, last: int):
+    """For each query its groups from the ``first`` to before the ``last`` highest bound, if they reach its floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,15 +193,17 @@ def _visits(groups: Groups):
             out: list[list[int]] = [[]] * batch.num_rows
             for _, at, q in _by_length(batch):
                 numbers, bound = groups.bounds(q)
-                for k, there in zip(at.tolist(), bound >= floor[at, None].astype(np.float64)):
-                    out[k] = numbers[there].tolist()
+                order = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
+                reach = np.take_along_axis(bound, order, axis=1) >= floor[at, None].astype(np.float64)
+                for k, own, there in zip(at.tolist(), order, reach):
+                    out[k] = numbers[own[there]].tolist()
             yield batch.append_column("pivots", pa.array(out, pa.list_(pa.int32())))
 
     return run
 
 
-def _pair(k: int, block: int, floors: bool):
-    """The best rows of each query of a chunk in a shard; for floors only the kth score of those that have so many."""
+def _pair(k: int, block: int):
+    """The best rows of each query of a chunk in a shard, of those that reach its floor."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_uid", "query_id", "vec_id", "score"]
@@ -223,13 +212,7 @@ def _pair(k: int, block: int, floors: bool):
         dim = left.column("dim")[0].as_py()
         ids, uids = left.column("vec_id").to_numpy(), left.column("uid").to_numpy()
         query_uids = right.column("uid").to_numpy()
-        floor = None if floors else right.column("floor").to_numpy()
-        r, c, s = search_shard(ids, uids, _matrix(left.column("data"), dim), query_uids, _matrix(right.column("data"), dim), k, block, floor)
-        if floors:
-            found, least = np.bincount(r, minlength=len(query_uids)), np.full(len(query_uids), np.iinfo(np.int64).max)
-            np.minimum.at(least, r, s)
-            r = np.flatnonzero(found >= k)
-            return pa.table([query_uids[r], right.column("vec_id").to_numpy()[r], query_uids[r], least[r]], names)
+        r, c, s = search_shard(ids, uids, _matrix(left.column("data"), dim), query_uids, _matrix(right.column("data"), dim), k, block, right.column("floor").to_numpy())
         return pa.table([query_uids[r], right.column("vec_id").to_numpy()[r], ids[c], s], names)
 
     return run
@@ -260,25 +243,33 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = K, scale: int = SCALE, s
     group, key = ["dim", "pivot"], ["dim", "pivot", "shard"]
     rows = rows.join(sizes, group).withColumn("shard", F.pmod(F.xxhash64("uid"), F.col("shards")).cast("int"))
 
-    def search(queries: DataFrame, floors: bool) -> DataFrame:
+    def search(queries: DataFrame) -> DataFrame:
         """queries: rows with dim, pivot and shard, several for one query where it visits several shards."""
         chunks = persist(queries.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")))
         left = rows.join(chunks, key).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         right = queries.join(chunks, key).withColumn("chunk", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("chunks")).cast("int"))
-        left, right = (x.groupBy(*key, "chunk") for x in (left.select(*key, "chunk", "vec_id", "uid", "data"), right.select(*key, "chunk", "vec_id", "uid", "data", *(["floor"] if not floors else []))))
-        return left.cogroup(right).applyInArrow(_pair(k, block, floors), _FOUND)
+        left = left.select(*key, "chunk", "vec_id", "uid", "data").groupBy(*key, "chunk")
+        right = right.select(*key, "chunk", "vec_id", "uid", "data", "floor").groupBy(*key, "chunk")
+        return left.cogroup(right).applyInArrow(_pair(k, block), _FOUND)
 
-    query_schema = "vec_id long, uid long, dim int, data binary"
+    query_schema = "vec_id long, uid long, dim int, data binary, floor long"
     queries = made.filter("is_query").select("vec_id", "uid", "dim", "data")
-    home = queries.mapInArrow(_homes(groups), query_schema + ", pivot int").join(sizes, group)
-    floors = search(home.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(2)), F.col("shards")).cast("int")).drop("shards"), True)
-    known = queries.join(floors.select(F.col("query_uid").alias("uid"), F.col("score").alias("floor")), "uid", "left").withColumn("floor", F.coalesce("floor", F.lit(_LOWEST)))
-    visits = known.select("vec_id", "uid", "dim", "data", "floor").mapInArrow(_visits(groups), query_schema + ", floor long, pivots array<int>")
-    visits = persist(visits).withColumn("pivot", F.explode("pivots")).drop("pivots").join(sizes, group)
-    visits = visits.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
-    found = search(visits, False)
+    best = made.sparkSession.createDataFrame([], _FOUND)
     place = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    most = max([1, *(len(own[0]) for own in groups.extremes.values())])
+    first, last = 0, 1
+    while first < most:
+        floors = best.groupBy(F.col("query_uid").alias("uid")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+        known = queries.join(floors, "uid", "left").withColumn("floor", F.coalesce("floor", F.lit(_LOWEST)))
+        visits = known.select("vec_id", "uid", "dim", "data", "floor").mapInArrow(_visits(groups, first, last), query_schema + ", pivots array<int>")
+        visits = persist(visits.withColumn("pivot", F.explode("pivots")).drop("pivots"))
+        first, last = last, 4 * last
+        if visits.isEmpty():  # bounds fall from round to round
+            break
+        now = visits.join(sizes, group).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+        merged = best.unionByName(search(now)).withColumn("rank", place).filter(F.col("rank") <= k)
+        best = persist(merged.drop("rank"))
+    return best.withColumn("rank", place).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE = """
