@@ -4,7 +4,8 @@ Terms (runs of letters and digits, A-Z lower-cased) are counted by the documents
 the terms within a band of inverse document frequency, given as shares of all documents; the lower share bounds its
 size (terms with a share of at least ``low`` number at most the mean of distinct terms a document, divided by
 ``low``, however large the corpus is), so tasks may all hold it.  Randomised subsets of the lexicon keep each term
-with a rate of their own.  For each subset the distinct terms of a document that are in it are sorted and hashed.
+with a rate of their own: halves of the lexicon agree only for texts that are nearly the same, small subsets still where
+half of a text has changed.  For each subset the distinct terms of a document that are in it are sorted and hashed.
 The fingerprint is the row of these hashes, "0000" where a document has no term of the subset.
 
 The likeness of two fingerprints is the share of equal hashes among the subsets of which either document has a
@@ -15,7 +16,7 @@ The edited text of a document takes its second half from the next document, in d
 are dealt to ranges of ids; the first document of the following range is sent along with each range, so that one
 sort by range is all that is needed and no task sees more than its range.
 
-Edge cases: null text counts as empty; an empty document's fingerprint is that of no terms; a null id sorts last; of
+Edge cases: null text counts as empty; a very long text is fingerprinted whole; an empty document's fingerprint is that of no terms; a null id sorts last; of
 rows with equal ids those with the shorter text come first; a single document is followed by itself; an empty table
 gives an empty result; extra columns are ignored.
 """
@@ -36,15 +37,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import texts
+from hornfels.llm.common import tasks, texts
 
 LOW, HIGH = 0.001, 0.2
-RATES = ((16, 32), (24, 128), (24, 512))
+RATES = ((4, 2), (16, 32), (24, 128), (24, 512))
 """Subsets and the inverse of their rate."""
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _FLUSH = 400_000
+DOCS_OF_A_RANGE = 2_500
 
 
 def terms(text: bytes) -> set[bytes]:
@@ -195,5 +197,5 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
 
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    ranges = ranges or tasks(docs.count(), DOCS_OF_A_RANGE)
     return with_next(docs, ranges).mapInArrow(_pairs(lexicon(docs, low, high).astype("<i8").tobytes()), SCHEMA)
