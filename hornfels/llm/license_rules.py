@@ -185,7 +185,8 @@ php|55|php license|php license
 zend-2.0|86|zend|zend (engine )?license( {v}2( 0)?)?
 zlib|85|zlib|zlib( libpng)? license
 zlib|75|altered source versions must be plainly marked|altered source versions must be plainly marked as such and must not be misrepresented
-libpng|85|libpng|(libpng|png reference library) license( {v}2)?
+libpng|85|libpng|libpng license( {v}2)?
+libpng|85|png reference library|png reference library license( {v}2)?
 libtiff|80|libtiff|libtiff license
 ijg|80|independent jpeg group|(this software is based in part on the work of the )?independent jpeg group
 info-zip|80|info zip|info zip license
