@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -633,6 +634,33 @@ def test_coder_compresses_by_context():
     assert decode_block(data)[2].tolist() == flat and len(data) * 8 / len(flat) < 4.2
 
 
+def test_coder_of_repeats_and_sequences():
+    rng = np.random.default_rng(11)
+    same, turns = np.zeros(100_000, np.uint32), np.tile([5, 9, 7], 50_000)
+    parts = [rng.integers(0, 100_000, rng.integers(1, 40)) for _ in range(300)]
+    long = np.concatenate([parts[k] for k in rng.integers(0, 300, 20_000)])
+    for flat, most in ((same, 4000), (turns, 2000), (long, 0.15 * len(long)), (np.full(1, 99_999), 200), (rng.permutation(5000), 10_000)):
+        data = encode_block([1], [len(flat)], flat)
+        assert np.array_equal(decode_block(data)[2], flat) and len(data) < most
+
+
+def test_coder_takes_little_time():
+    rng = np.random.default_rng(5)
+    words_ = [rng.integers(0, 4000, k) for k in rng.integers(1, 5, 20_000)]
+    flat = np.concatenate([words_[k] for k in rng.zipf(1.2, 400_000) % 20_000])
+
+    def seconds(call):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            call()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    # a stable sort of the ids is the measure of this machine's speed
+    assert seconds(lambda: decode_block(encode_block([1], [len(flat)], flat))) < 5 * seconds(lambda: np.argsort(flat, kind="stable"))
+
+
 def test_coder_notices_every_damage():
     rng = np.random.default_rng(4)
     data = encode_block([5, None, 7], [300, 0, 500], rng.integers(0, 900, 800))
