@@ -297,6 +297,30 @@ def test_encoder_cuts_very_long_texts_where_it_does_not_matter(name, is_words, m
     assert sum(len(tokens.windows(t)) for t in texts) > 2 * len(texts)
 
 
+def test_encoder_merges_short_words_without_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from hornfels.llm import tokens
+
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x3000) if chr(c).isalpha()]
+    words_ = [f"{rng.choice('tTaeix')}{c}{rng.choice('nhr')}" for c in letters] + ["".join(rng.choices("etaoinshrdlcéüñ", k=rng.randrange(1, 13))) for _ in range(20_000)] + ["a" * n for n in range(1, 15)]
+    words_ = [w for w in words_ if len(w.encode()) < 15]
+    texts = [" ".join(rng.choices(words_, k=60)) + "." for _ in range(1000)] + ["", " ".join(words_)]
+    reference = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
+    expected = [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+    for forgets in (False, True):
+        if forgets:  # few slots and a small pool: pieces are read again and again
+            monkeypatch.setattr(tokens, "SLOTS", 4)
+            monkeypatch.setattr(tokens, "POOL", 50)
+        own = Encoder(default_path("byte_bpe_50k.json"), False)
+        asked, library = [], own._library
+        monkeypatch.setattr(own, "_library", lambda t: asked.extend(t) or library(t))
+        for at in range(0, len(texts), 100):
+            assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts[at : at + 100])] == expected[at : at + 100]
+        assert len("".join(asked)) < 100  # the stops
+
+
 def sound(out, capacity):
     by_sequence = {}
     for r in out:
