@@ -14,8 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornfels.plans.terms import Aggregation, Bindings, Declaration, Fact, Rule, Var
-from hornfels.types import ANY, Typed, convert, has_type, lit, pack, spark_type
+from hornfels.plans.pairs import join_pairs
+from hornfels.plans.terms import Aggregation, Atom, Bindings, Declaration, Fact, Rule, Var
+from hornfels.types import ANY, FLOATS, Typed, convert, has_type, lit, pack, spark_type
 
 CID = "_cid"
 
@@ -64,8 +65,20 @@ def join_order(variables: list[set[str]]) -> list[int]:
     return order
 
 
-def compile_rule(spark: SparkSession, rule: Rule, declarations: dict[str, Declaration], frame_of: Callable[[str, int], DataFrame]) -> DataFrame:
-    """The head's rows, not yet distinct.  ``frame_of(relation, k)``: rows for the k-th atom; -1 for other terms."""
+def _meets_itself(a: Atom, b: Atom, shared: set[str], kinds: dict[str, str]) -> bool:
+    """Whether two atoms search one relation by the same columns, so that groups of rows meet as a whole.
+
+    Floats as keys are left to the ordinary join, which keeps the sign of a zero.
+    """
+    places = [sorted((t.name, c) for c, t in x.bindings if isinstance(t, Var) and t.name in shared) for x in (a, b)]
+    return a.relation == b.relation and a.cid is None and b.cid is None and places[0] == places[1] and not any(kinds[v] == ANY or kinds[v] in FLOATS for v in shared)
+
+
+def compile_rule(spark: SparkSession, rule: Rule, declarations: dict[str, Declaration], frame_of: Callable[[str, int], DataFrame]) -> tuple[DataFrame, bool]:
+    """The head's rows, and whether they are distinct as they are.
+
+    ``frame_of(relation, k)``: rows for the k-th atom; -1 for other terms.
+    """
     kinds: dict[str, str] = {}
     rest: set[str] = _used_by(rule.columns)
     for condition in rule.conditions:
@@ -75,6 +88,8 @@ def compile_rule(spark: SparkSession, rule: Rule, declarations: dict[str, Declar
     atom_vars = [_used_by(a.bindings) | ({a.cid.name} if isinstance(a.cid, Var) else set()) for a in rule.atoms]
     env: DataFrame | None = None
     bound: set[str] = set()
+    pairs: set[str] = set()  # the own variables of both sides of a join of many rows with many
+    single, tasks = False, 0
     order = join_order(atom_vars)
     for place, k in enumerate(order):
         atom = rule.atoms[k]
@@ -86,7 +101,14 @@ def compile_rule(spark: SparkSession, rule: Rule, declarations: dict[str, Declar
         else:
             shared = [f"v_{v}" for v in sorted(own & bound)]
             fresh = (own - bound) & later
-            if shared:
+            met = None
+            if place == 1 and shared and fresh and bound - own and _meets_itself(rule.atoms[order[0]], atom, own & bound, kinds):
+                met = join_pairs(env, rows, shared)
+            if met:
+                env, single, tasks = met
+                pairs = (bound - own) | fresh
+                single = single or (own & bound) <= _used_by(rule.columns)
+            elif shared:
                 env = env.join(rows, shared, "inner" if fresh else "left_semi")
             elif fresh:
                 env = env.crossJoin(rows)
@@ -115,7 +137,12 @@ def compile_rule(spark: SparkSession, rule: Rule, declarations: dict[str, Declar
         else:
             value = lit(term, head.columns[column])
         out[column] = value.cast(spark_type(head.columns[column])).alias(column)
-    return env.select(*[out[c] for c in head.columns])
+    env = env.select(*[out[c] for c in head.columns])
+    if not pairs or not pairs <= _used_by(rule.columns):
+        return env, False
+    if len(rule.atoms) == 2 and not rule.aggregations and single:
+        return env, True
+    return env.repartition(tasks, *[F.col(f"`{c}`") for c in head.columns]), False  # about as many rows as pairs
 
 
 def _aggregate(env: DataFrame, term: Aggregation, declarations, frame_of, kinds: dict[str, str], bound: set[str]) -> DataFrame:

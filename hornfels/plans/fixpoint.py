@@ -65,6 +65,9 @@ class Evaluation:
         return self.frames.get(name) if name in self.frames else self.empty(name)
 
     def _derive(self, rule: Rule, frame_of: Callable[[str, int], DataFrame] | None = None) -> DataFrame:
+        return self._compile(rule, frame_of)[0]
+
+    def _compile(self, rule: Rule, frame_of: Callable[[str, int], DataFrame] | None = None) -> tuple[DataFrame, bool]:
         return compile_rule(self.spark, rule, self.program.declarations, frame_of or (lambda name, k: self.frame(name)))
 
     def run(self, inputs: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -87,8 +90,10 @@ class Evaluation:
         members = set(stratum.relations)
         if not stratum.recursive:
             name = stratum.relations[0]
-            parts = [self._derive(r) for r in stratum.rules] + self._facts(stratum, name)
-            frame = _distinct(_union(parts)) if parts else self.empty(name)
+            made = [self._compile(r) for r in stratum.rules]
+            parts = [rows for rows, _ in made] + self._facts(stratum, name)
+            done = len(parts) == 1 and all(distinct for _, distinct in made) and bool(made)
+            frame = parts[0] if done else _distinct(_union(parts)) if parts else self.empty(name)
             own = self.program.declarations[name].storage != "set"
             self.frames[name] = self._laid(name, frame) if own else materialize(frame) if self._uses(name) > 1 else frame
             return

@@ -10,7 +10,7 @@ from hornfels.plans.builder import Program
 from hornfels.plans.explain import explain
 from hornfels.plans.fixpoint import evaluate
 from hornfels.sources import facts
-from hornfels.sources.bind import rows
+from hornfels.sources.bind import bind, rows
 from hornfels.sources.facts import InputTuple
 from hornfels.types import from_any
 
@@ -305,3 +305,32 @@ def test_storage_does_not_change_results(spark, storage):
     assert derive(spark, closure(p), "path", [InputTuple(k, "to", k + 1) for k in range(4)]) == CHAIN
     with pytest.raises(ValueError):
         Program().output("other", EDGE, storage="heap")
+
+
+def _peers():
+    p = Program(preamble=False).input("of", {"who": "s64", "group": "s32"}).output("peers", {"a": "s64", "b": "s64"})
+    p.rule("peers", ["s64", "s64", "s32"], lambda h, b, x, y, g: (h.bind({"a": x, "b": y}), b.search("of", {"who": x, "group": g}).search("of", {"who": y, "group": g})))
+    return p
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_groups_that_meet_themselves_are_dealt_over_tasks(spark, monkeypatch, twice):
+    """One large group and some small ones; ``twice``: rows that stand in two groups make no pair twice."""
+    from hornfels.plans import pairs
+
+    for name, value in (("FEW", 10_000), ("BLOCK", 16), ("TASK", 10_000)):
+        monkeypatch.setattr(pairs, name, value)
+    stands = [(k, 0 if k < 400 else k % 7) for k in range(450)] + [(k, 1) for k in range(30) if twice]
+    of = spark.createDataFrame(stands, "who long, group int")
+    p = _peers()
+    out = evaluate(spark, p, {"of": bind(of, p.declarations["of"])})["peers"]
+    groups = {}
+    for who, group in stands:
+        groups.setdefault(group, set()).add(who)
+    expected = {(a, b) for g in groups.values() for a in g for b in g}
+    got = out.withColumn("part", F.spark_partition_id()).collect()
+    assert len(got) == len(expected) and {(r.a, r.b) for r in got} == expected
+    counts = {}
+    for r in got:
+        counts[r.part] = counts.get(r.part, 0) + 1
+    assert len(counts) > 8 and max(counts.values()) < len(expected) / 6
