@@ -9,11 +9,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,14 +159,63 @@ def fact_cid(entity: Any, attribute: Any, value: Any, links: Iterable[bytes] = (
     return cid(fact_block(entity, attribute, value, links))
 
 
+def _epoch_head(previous: bytes | None, n: int) -> bytes:
+    return _head(5, 2) + cbor("prev") + cbor(None if previous is None else Link(previous)) + cbor("tuples") + _head(4, n)
+
+
 def epoch_cid(previous: bytes | None, n: int, facts: Iterable[bytes]) -> bytes:
     """Content id of ``{prev, tuples}`` with the ids of ``n`` facts, which are hashed one by one and never held."""
-    digest = hashlib.sha256(_head(5, 2) + cbor("prev") + cbor(None if previous is None else Link(previous)) + cbor("tuples") + _head(4, n))
+    digest = hashlib.sha256(_epoch_head(previous, n))
     for fact in facts:
         digest.update(cbor(Link(fact)))
     return PREFIX + digest.digest()
 
 
+PACK = 128
+"""Ids that one row brings to the task which hashes them."""
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted ids as rows of up to ``PACK``: the first, how many, and the encoding of all as links."""
+    heads: dict[int, bytes] = {}
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        links = []
+        for x in ids:
+            if len(x) not in heads:
+                heads[len(x)] = cbor(Link(x))[: -len(x)]
+            links.append(heads[len(x)] + x)
+        starts = range(0, len(ids), PACK)
+        columns = [pa.array([ids[k] for k in starts], pa.binary()), pa.array([len(ids[k : k + PACK]) for k in starts], pa.int64()), pa.array([b"".join(links[k : k + PACK]) for k in starts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["first", "n", "links"])
+
+
+def epoch_cid_of(ids: DataFrame, previous: bytes | None, n: int) -> bytes:
+    """:func:`epoch_cid` of a column of ``n`` ids in ascending order; nothing but the result comes to the driver.
+
+    Tasks sort the ids and encode them in packs.  A SHA-256 over a list is made from its front to its end, so one task
+    hashes the packs, which it holds a batch at a time; only their sort, which can spill, sees all of them.
+    """
+    if not n:
+        return epoch_cid(previous, 0, ())
+    begin = _epoch_head(previous, n)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, seen = hashlib.sha256(begin), 0
+        for batch in batches:
+            for links in batch.column(2):
+                state.update(links.as_buffer())
+            seen += sum(batch.column(1).to_pylist())
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([PREFIX + state.digest()], pa.binary()), pa.array([seen], pa.int64())], ["id", "n"])
+
+    packs = ids.orderBy(*ids.columns).mapInArrow(_packs, "first binary, n long, links binary")
+    made = packs.repartition(1).sortWithinPartitions("first").mapInArrow(digest, "id binary, n long").collect()
+    if [r["n"] for r in made] != [n]:
+        raise ValueError(f"{n} ids, of which {[r['n'] for r in made]} were hashed")
+    return bytes(made[0]["id"])
+
+
 def _typed(row) -> Typed:
     return Typed(NAMES[row["t"]], from_any(row))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from hornfels.errors import UnrecognizedRelation
-from hornfels.functions.content import epoch_cid
+from hornfels.functions.content import epoch_cid_of
 from hornfels.plans.builder import Program
 from hornfels.plans.compile_rule import CID
 from hornfels.plans.fixpoint import Evaluation
@@ -106,8 +106,7 @@ class Client:
         n = new.count()
         if last and not n:
             return None
-        ids = (bytes(r[0]) for r in new.select(CID).orderBy(CID).toLocalIterator(prefetchPartitions=True))
-        id_ = epoch_cid(self.epoch_ids[-1] if last else None, n, ids)
+        id_ = epoch_cid_of(new.select(CID), self.epoch_ids[-1] if last else None, n)
         write_mark(self.spark, f"{self.folder}/ids/{last + 1:012d}", id_.hex())
         self.epoch_ids.append(id_)
         self.active += 1

@@ -211,3 +211,20 @@ def test_block_table_appends(spark, tmp_path):
     assert BlockTable(spark, str(tmp_path / "blocks")).table.count() == 3
     there = table.has(spark.createDataFrame([(keys[0],), (cid(b"d"),)], "cid binary")).collect()
     assert {bytes(r.cid): r.there for r in there} == {keys[0]: True, cid(b"d"): False}
+
+
+def _bytes_to_driver(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).resultSize() for k in range(stages.size()))
+
+
+def test_ids_of_a_large_epoch_stay_on_the_executors(spark):
+    n = 50_000
+    client = Client(spark, paths())
+    client.insert_frame(from_columns(spark.range(n), pack(F.col("id"), "s64"), pack(F.lit("at"), "string"), pack(F.col("id"), "s64")))
+    before = _bytes_to_driver(spark)
+    client.commit()
+    assert _bytes_to_driver(spark) - before < n * 36 / 2
+    ids = sorted(bytes(r[0]) for r in client.facts().select("_cid").collect())
+    assert len(ids) == n and client.epoch_ids == [cid(cbor({"prev": None, "tuples": [Link(x) for x in ids]}))]
