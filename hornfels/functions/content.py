@@ -10,15 +10,14 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
+from decimal import Decimal
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from hornfels.types import ANY, FLOATS, NAMES, Typed, from_any, literal
+from hornfels.types import ANY, FLOATS, NAMES, Typed, literal, payload
 
 _TAG = {"bool": "Bool", "s8": "S8", "u8": "U8", "s16": "S16", "u16": "U16", "s32": "S32", "u32": "U32", "f32": "F32", "s64": "S64", "u64": "U64", "f64": "F64", "char": "Char", "string": "String", "cid": "Cid"}
 PREFIX = bytes([0x01, 0x71, 0x12, 0x20])
@@ -216,16 +215,49 @@ def epoch_cid_of(ids: DataFrame, previous: bytes | None, n: int) -> bytes:
     return bytes(made[0]["id"])
 
 
-def _typed(row) -> Typed:
-    return Typed(NAMES[row["t"]], from_any(row))
+def _hex(n: int) -> str:
+    return f"{n:02x}"
 
 
-@F.pandas_udf(T.BinaryType())
-def _cids(entity: pd.DataFrame, attribute: pd.DataFrame, value: pd.DataFrame, links: pd.Series) -> pd.Series:
-    columns = [f.to_dict("records") for f in (entity, attribute, value)]
-    return pd.Series([fact_cid(_typed(e), _typed(a), _typed(v), [] if x is None else x) for e, a, v, x in zip(*columns, links)])
+def _head_column(major: int, n: Column) -> Column:
+    """:func:`_head` of a column of non-negative integers below 2**64."""
+    top = major << 5
+    u = F.when(n >= F.lit(Decimal(1 << 63)), n - F.lit(Decimal(1 << 64))).otherwise(n).cast("long")
+    digits = F.when(n < 24, F.lpad(F.hex(u + top), 2, "0"))
+    for code, size in ((24, 1), (25, 2), (26, 4)):
+        digits = digits.when(n < 1 << (8 * size), F.concat(F.lit(_hex(top | code)), F.lpad(F.hex(u), 2 * size, "0")))
+    return F.unhex(digits.otherwise(F.concat(F.lit(_hex(top | 27)), F.lpad(F.hex(u), 16, "0"))))
+
+
+def _link_column(x: Column) -> Column:
+    return F.concat(F.lit(_head(6, 42)), _head_column(2, F.octet_length(x) + 1), F.lit(b"\0"), x)
+
+
+def _value_column(v: Column) -> Column:
+    """:func:`cbor` of a value of any type under the name of its type."""
+    n, d, text_ = v["i"], F.coalesce(v["d"], F.lit(float("nan"))), v["s"].cast("binary")
+    whole = F.when(n >= 0, _head_column(0, n)).otherwise(_head_column(1, -1 - n))
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), d).cast("long")
+    real = F.concat(F.lit(b"\xfb"), F.unhex(F.lpad(F.hex(bits), 16, "0")))
+    string = F.when(text_.isNull(), F.lit(cbor(None))).otherwise(F.concat(_head_column(3, F.octet_length(text_)), text_))
+    own = {"i": whole, "d": real, "s": string, "b": _link_column(v["b"])}
+    flag = F.when(n == 1, F.lit(cbor(True))).when(n == 0, F.lit(cbor(False)))
+    names = raw = None
+    for tag, name in enumerate(NAMES):
+        there = v["t"] == F.lit(tag).cast("tinyint")
+        names = (names if names is not None else F).when(there, F.lit(_head(5, 1) + cbor(_TAG[name])))
+    for field in (*own, "bool"):
+        tags = [tag for tag, name in enumerate(NAMES) if ("bool" if name == "bool" else payload(name)) == field]
+        raw = (raw if raw is not None else F).when(v["t"].isin(tags), flag if field == "bool" else own[field])
+    return F.concat(names, raw)
 
 
 def cid_column(entity: Column, attribute: Column, value: Column, links: Column) -> Column:
-    """Content ids of facts, over Arrow batches; the first three are values of any type."""
-    return _cids(entity, attribute, value, links)
+    """Content ids of facts, as expressions; the first three are values of any type."""
+    tuples = F.aggregate(links, F.lit(b""), lambda made, x: F.concat(made, _link_column(x)))
+    block = F.concat(
+        *(part for name, v in (("entity", entity), ("attr", attribute), ("val", value)) for part in (F.lit((_head(5, 4) if name == "entity" else b"") + cbor(name)), _value_column(v))),
+        F.lit(cbor("links")), _head_column(4, F.size(links)), tuples,
+    )
+    made = F.concat(F.lit(PREFIX), F.unhex(F.sha2(block, 256)))
+    return F.coalesce(made, F.raise_error(F.lit("a fact with a value that has no encoding")).cast("binary"))

@@ -39,8 +39,8 @@ def from_tuples(spark: SparkSession, tuples: Iterable[InputTuple]) -> DataFrame:
 def from_columns(df: DataFrame, entity: Column, attribute: Column, value: Column, links: Column | None = None) -> DataFrame:
     """Facts from a table; the first three columns hold values of any type (see :func:`hornfels.types.pack`)."""
     no_links = F.array().cast("array<binary>")
-    df = df.select(entity.alias("entity"), attribute.alias("attribute"), value.alias("value"), F.coalesce(links, no_links).alias("links") if links is not None else no_links.alias("links"))
-    return df.withColumn(CID, cid_column(F.col("entity"), F.col("attribute"), F.col("value"), F.col("links")))
+    linked = F.coalesce(links, no_links) if links is not None else no_links
+    return df.select(entity.alias("entity"), attribute.alias("attribute"), value.alias("value"), linked.alias("links"), cid_column(entity, attribute, value, linked).alias(CID))
 
 
 def evac(facts: DataFrame) -> DataFrame:
